@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm import decontam, embed_dedup, html_text, lang_id, mixing, ngram_join, pii, secrets
+from pagelens.llm import chat, decontam, embed_dedup, html_text, lang_id, mixing, ngram_join, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -46,12 +54,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_html_extraction": op5_html_extraction,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_secret_scan": op10_secret_scan,
 }
