@@ -23,7 +23,7 @@ _TAIL = rf"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/?]|{_PCT})"
 _USER = rf"(?:[A-Za-z0-9\-._~!$&'()*+,;=:]|{_PCT})"
 #: Groups: scheme, user, host, port, path, query, fragment.
 PATTERN = (
-    rf"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://(?:({_USER}*)@)?(\[[0-9A-Fa-f:.]+\]|{_NAME}*)(?::([0-9]*))?(?=[/?#]|\z))?"
+    rf"^(?:([A-Za-z][A-Za-z0-9+.\-]*):|(?![^/?#]*:))(?://(?:({_USER}*)@)?(\[[0-9A-Fa-f:.]+\]|{_NAME}*)(?::([0-9]*))?(?=[/?#]|\z))?"
     rf"({_PATH}*)(?:\?({_TAIL}*))?(?:#({_TAIL}*))?\z"
 )
 _COMPILED = re.compile(PATTERN.replace(r"\z", r"\Z"))
@@ -50,7 +50,7 @@ def _slashless(path: str) -> str:
 
 def _printed(p: dict) -> str:
     port = f":{p['port']}" if p["port"] and DEFAULT_PORTS.get(p["scheme"]) != p["port"] else ""
-    return f"{p['scheme']}://{p['host'] or ''}{port}{_slashless(p['path'])}"
+    return f"{p['scheme'] or ''}://{p['host'] or ''}{port}{_slashless(p['path'])}"
 
 
 def normalize(url: str | None, base_url: str | None = None) -> str | None:
