@@ -123,7 +123,7 @@ def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: list[str | None], limit: int = 4 << 20):
+def chunks(texts: list[str | None], limit: int = 2 << 20):
     """(from, to, encoded texts) slices of at most about `limit` bytes; one text is never cut."""
     start, held, total = 0, [], 0
     for i, t in enumerate(texts):

@@ -33,7 +33,8 @@ from pagelens.llm.common import chunks, partitions, shingle_hashes, stored
 from pagelens.llm.components import components
 
 SHINGLE = 5
-POSTINGS = "bucket int, nodes binary, sizes binary, idx binary, hashes binary, dfs binary"
+POSTINGS = "bucket int, batch long, nodes binary, sizes binary, gaps binary, hashes binary, dfs binary"
+LOW = np.uint64((1 << 48) - 1)
 
 
 def needed(size):
@@ -61,66 +62,79 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long")
 
 
-def _packed(key: np.ndarray, node: np.ndarray, size: np.ndarray, hashes: np.ndarray, dfs: np.ndarray | None):
-    """One row for each key, its postings as arrays: distinct nodes and sizes, and an index into them."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
-    rows = []
-    for i, part in enumerate(np.split(order, cuts[1:]) if len(key) else []):
-        uniq, first, idx = np.unique(node[part], return_index=True, return_inverse=True)
-        rows.append((
-            int(key[cuts[i]]), uniq.astype(np.int64).tobytes(), size[part][first].astype(np.int32).tobytes(),
-            idx.astype(np.uint32 if len(uniq) > 65535 else np.uint16).tobytes(), hashes[part].tobytes(),
-            b"" if dfs is None else dfs[part].astype(np.int32).tobytes(),
-        ))
-    return pd.DataFrame(rows, columns=["bucket", "nodes", "sizes", "idx", "hashes", "dfs"])
-
-
-def _unpacked(pdf: pd.DataFrame):
-    node, size, hashes, dfs = [], [], [], []
-    for r in pdf.itertuples(index=False):
-        uniq = np.frombuffer(r.nodes, np.int64)
-        idx = np.frombuffer(r.idx, np.uint32 if len(uniq) > 65535 else np.uint16)
-        node.append(uniq[idx])
-        size.append(np.frombuffer(r.sizes, np.int32)[idx])
-        hashes.append(np.frombuffer(r.hashes, np.uint64))
-        dfs.append(np.frombuffer(r.dfs, np.int32))
-    return np.concatenate(node), np.concatenate(size), np.concatenate(hashes), np.concatenate(dfs)
+def _tight(values: np.ndarray) -> bytes:
+    """Values in the narrowest unsigned integers that hold the largest."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _bytes(hashes: np.ndarray, width: int) -> bytes:
+    """The `width` low bytes of each hash."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _rows(key: np.ndarray, batch: np.ndarray, idx: np.ndarray, hashes: np.ndarray, dfs: np.ndarray | None, width: int) -> list[tuple]:
+    """One row for each key and batch, postings by idx, the set's number in its batch (as gaps)."""
+    order = np.lexsort((idx, batch, key))
+    key, batch, idx, hashes = key[order], batch[order], idx[order].astype(np.int64), hashes[order]
+    dfs = None if dfs is None else np.minimum(dfs[order], 65535).astype(np.uint16)
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (batch[1:] != batch[:-1]))) if len(key) else np.empty(0, bool)
+    cuts = np.flatnonzero(new).tolist()
+    return [
+        (int(key[a]), int(batch[a]), b"", b"", _tight(np.diff(idx[a:b], prepend=0)), _bytes(hashes[a:b], width), b"" if dfs is None else dfs[a:b].tobytes())
+        for a, b in zip(cuts, [*cuts[1:], len(key)])
+    ]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "batch", "nodes", "sizes", "gaps", "hashes", "dfs"])
+
+
+def _unpacked(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """batch, idx, hash, df of all postings."""
+    counts = [len(h) // width for h in pdf["hashes"]]
+    idx = [np.cumsum(np.frombuffer(g, f"u{len(g) // n}"), dtype=np.uint32) for g, n in zip(pdf["gaps"], counts)]
+    whole = np.zeros((sum(counts), 8), np.uint8)
+    whole[:, :width] = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, width)
+    dfs = np.frombuffer(b"".join(pdf["dfs"]), np.uint16)
+    batch = np.repeat(pdf["batch"].to_numpy(np.int64), counts)
+    return batch, np.concatenate(idx) if idx else np.empty(0, np.uint32), whole.view("<u8").ravel(), dfs
 
 
 def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataFrame:
-    """Postings of the shingles that two or more different sets hold, with each list's length,
-    dealt by node. Stages 1 of the module's outline."""
+    """Postings of the shingles that two or more sets hold, with each list's length, dealt by batch;
+    and for each batch the nodes and sizes of its sets. Stage 1 of the module's outline.
+
+    A posting is the low 48 bits of its hash and the set's number within its batch of texts: a few
+    bytes, however many buckets there are. The bucket, dealt by the high bits, is put back above the
+    48. A list's length counts a set once per batch that holds it; it is cut at 65535. It orders
+    lists, in the same way for all sets, and only lists of length one are dropped."""
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, _, texts in chunks(pdf["text"].tolist(), 8 << 20):
+            for _, _, texts in chunks(pdf["text"].tolist(), 2 << 20):
                 found = {node_id(x): x for x in shingle_hashes(texts, size) if len(x)}
                 if found:
-                    lens = np.array([len(x) for x in found.values()])
+                    nodes = np.array(list(found), np.int64)
+                    lens = np.array([len(x) for x in found.values()], np.int32)
+                    name = node_id(nodes)
                     hashes = np.concatenate(list(found.values()))
-                    node = np.repeat(np.array(list(found), np.int64), lens)
-                    yield _packed((hashes >> np.uint64(32)) % np.uint64(buckets), node, np.repeat(lens, lens), hashes, None)
+                    rows = _rows((hashes >> np.uint64(40)) % np.uint64(buckets), np.full(len(hashes), name), np.repeat(np.arange(len(lens)), lens), hashes, None, 6)
+                    yield _frame([*rows, (name % buckets, name, nodes.tobytes(), lens.tobytes(), b"", b"", b"")])
 
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, size_, hashes, _ = _unpacked(pdf)
+        bucket = np.uint64(pdf["bucket"].iloc[0])
+        table = pdf["nodes"].map(len) > 0
+        batch, idx, hashes, _ = _unpacked(pdf[~table], 6)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
-        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        run = np.cumsum(new) - 1
-        keep = np.bincount(run)[run] > 1
+        again = hashes[1:] == hashes[:-1]
+        keep = np.concatenate((again, [False])) | np.concatenate(([False], again)) if len(hashes) else np.empty(0, bool)
         order, hashes = order[keep], hashes[keep]
-        node, size_ = node[order], size_[order]
-        order = np.lexsort((node, hashes))  # copies of a set from different batches count once
-        node, size_, hashes = node[order], size_[order], hashes[order]
-        once = np.ones(len(hashes), bool)
-        once[1:] = (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1])
-        node, size_, hashes = node[once], size_[once], hashes[once]
         _, run, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        df = counts[run]
-        keep = df > 1
-        return _packed(np.mod(node[keep], buckets), node[keep], size_[keep], hashes[keep], df[keep])
+        batch = batch[order]
+        rows = _rows(np.mod(batch, buckets), batch, idx[order], hashes | (bucket << np.uint64(48)), counts[run], 8)
+        tables = pdf[table].assign(bucket=np.mod(pdf.loc[table, "batch"], buckets))
+        return _frame([*rows, *tables.itertuples(index=False, name=None)])
 
     dealt = docs.select("text").mapInPandas(lists, POSTINGS)
     return dealt.groupBy("bucket").applyInPandas(lengths, POSTINGS)
@@ -131,19 +145,25 @@ def candidates(postings: DataFrame) -> DataFrame:
     the sets with at least T shared shingles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, size, hashes, dfs = _unpacked(pdf)
-        order = np.lexsort((hashes, dfs, node))
-        node, size, hashes = node[order], size[order], hashes[order]
-        cuts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         rows = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)]):
-            s = int(size[a])
-            if b - a >= needed(s):
-                mine = hashes[a:b]
-                rows.append((int(node[a]), s, mine[: b - a - needed(s) + 1].astype(np.int64).tolist(), np.sort(mine).tobytes()))
+        for _, one in pdf.groupby("batch", sort=False):
+            table = one["nodes"].map(len) > 0
+            if table.all():
+                continue
+            nodes, sizes = (np.frombuffer(one.loc[table, c].iloc[0], t) for c, t in (("nodes", np.int64), ("sizes", np.int32)))
+            _, idx, hashes, dfs = _unpacked(one[~table], 8)
+            order = np.lexsort((hashes, dfs, idx))
+            idx, hashes = idx[order], hashes[order]
+            cuts = np.flatnonzero(np.concatenate(([True], idx[1:] != idx[:-1]))).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(idx)]):
+                s = int(sizes[idx[a]])
+                if b - a >= needed(s):
+                    mine = hashes[a:b]
+                    rows.append((int(nodes[idx[a]]), s, mine[: b - a - needed(s) + 1].astype(np.int64).tolist(), np.sort(mine).tobytes()))
         return pd.DataFrame(rows, columns=["node", "size", "prefix", "members"])
 
-    return postings.groupBy("bucket").applyInPandas(run, "node long, size int, prefix array<long>, members binary")
+    found = postings.groupBy("bucket").applyInPandas(run, "node long, size int, prefix array<long>, members binary")
+    return found.dropDuplicates(["node"])
 
 
 class _Union:
@@ -257,7 +277,7 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
     sets = stored(shingle_sets(docs, size), "sets")
-    cands = stored(candidates(shared_postings(docs, 4 * partitions(spark), size)), "candidates")
+    cands = stored(candidates(shared_postings(docs, partitions(spark), size)), "candidates")
     comp = stored(components(links(cands), "a", "b"), "components")
     rows = (
         sets.join(comp, sets["node"] == comp["node"], "left")
