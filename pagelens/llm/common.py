@@ -76,8 +76,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space words (A-Z lower-cased) of all texts, and words per text.
+def word_hashes(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space words (A-Z lower-cased) of all texts, and words per text;
+    bare: words are runs of letters and digits, and of bytes beyond ASCII.
 
     One pass over the joined bytes: with H the prefix sums of byte * P^i, a word's hash is
     (H[end] - H[start]) * P^-start modulo 2^64, finalised.
@@ -87,6 +88,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8).copy()
     buf[(buf >= 65) & (buf <= 90)] |= 0x20
     gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    if bare:
+        gap = (buf < 128) & ~((buf >= 97) & (buf <= 122)) & ~((buf >= 48) & (buf <= 57))
     inside = ~gap
     starts = np.flatnonzero(inside & np.concatenate(([True], gap[:-1])))
     ends = np.flatnonzero(gap & np.concatenate(([False], inside[:-1])))
