@@ -6,7 +6,7 @@ bars, forms and the like, named by their tag, role, class or id, are left out as
 
 Each other line's ratio is its characters outside links over its tags. The ratios are smoothed with
 a Gaussian and split into two clusters by a threshold (Otsu's: the cut with the largest variance
-between its sides). The lines above it choose the region: the article or main element with most of
+between its sides, or the mean if that is lower). The lines above it choose the region: the article or main element with most of
 their text, else the innermost element with at least RULE of it. All lines of the region that were
 not left out are the text, so short paragraphs of an article stay.
 
@@ -36,6 +36,8 @@ LEFT_OUT = frozenset(
 )
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements of text, never a page's content region by themselves.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl pre blockquote figure figcaption address hr".split())
 #: Fixed words of class, id and role that name what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr "
@@ -77,7 +79,7 @@ class _Lines(HTMLParser):
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, self.plain, self.tags, tuple(n for t, n, _ in self.open if t not in INLINE)))
+                self.lines.append((text, self.plain, self.tags, tuple(n for t, n, _ in self.open if t not in INLINE and t not in TEXTUAL)))
             self.text, self.plain, self.tags = [], 0, 0
 
     def _pop(self, at: int) -> None:
@@ -153,7 +155,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not p.lines:
         return ""
     ratio = smoothed(np.array([plain / max(1, tags) for _, plain, tags, _ in p.lines]), sigma)
-    cut = threshold(ratio)
+    cut = min(threshold(ratio), float(ratio.mean()))  # of a long tail Otsu's cut alone takes too little
     mass: dict[int, int] = {}
     total = 0
     for (text, _, _, path), r in zip(p.lines, ratio):
