@@ -144,8 +144,9 @@ def near_pairs(nodes: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -
         out = []
         for (_, lo, hi, block), g in pdf.groupby(["cell_key", "lo", "hi", "block"], sort=False):
             out += _join(g, int(lo), int(hi), int(block), cosine, blocks)
-        found = pd.DataFrame(out, columns=["node", "links", "other"])
-        return found.astype({"other": "Int64"})
+        node, links, other = zip(*out) if out else ((), (), ())
+        # from integers to Int64 directly: by way of floats, node ids would lose digits
+        return pd.DataFrame({"node": pd.array(node, "int64"), "links": pd.array(links, "int64"), "other": pd.array(list(other), "Int64")})
 
     task = F.when((F.col("lo") == 0) & (F.col("hi") == 0), F.pmod("cell_key", F.lit(8 * partitions(spark)))).otherwise(F.xxhash64("cell_key", "lo", "hi"))
     return deal.withColumn("task", task).groupBy("task").applyInPandas(run, "node long, links long, other long")
