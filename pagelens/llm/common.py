@@ -34,6 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_rows(rows: DataFrame, count: int, *columns: str) -> list:
+    """`columns` of at most `count` distinct doc_ids, those with the least hash, collected. Only ids
+    are sorted; texts travel once they are chosen. Of a repeated doc_id one row is taken."""
+    ids = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(count).collect()
+    chosen = rows.where(F.col("doc_id").isin([r["doc_id"] for r in ids])).select("doc_id", *columns)
+    return chosen.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns]).orderBy("doc_id").collect()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks
+from pagelens.llm.common import chunks, least_rows
 
 #: Fixed table: ISO 639 codes by family.
 FAMILIES = {
@@ -131,8 +131,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, bits: int = BITS) -> Model:
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     x, y = [], []
     for i, code in enumerate(langs):
-        least = rows.where(F.col("lang") == code).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").orderBy("h", "doc_id", "text").limit(per_lang)
-        for r in least.collect():
+        for r in least_rows(rows.where(F.col("lang") == code), per_lang, "text"):
             x.append(features([r["text"].encode("utf-8", "surrogatepass")], bits)[0])
             y.append(i)
     return Model(langs, np.stack(x), np.array(y)) if x else Model([])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, word_hashes
+from pagelens.llm.common import chunks, least_rows, word_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns of the contract.
@@ -184,10 +184,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Fits the field on `sample` documents with a base span and as many others, the least by hash
     of doc_id; of long ones the CONTEXT tokens around spans, or the first, are the example."""
     cue = F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}")
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), "text")
+    rows = docs.where("text is not null and doc_id is not null")
     seqs = []
     for with_cue in (True, False):
-        for r in rows.where(cue if with_cue else ~cue).orderBy("h", "text").limit(sample).collect():
+        for r in least_rows(rows.where(cue if with_cue else ~cue), sample, "text"):
             obs, start, end, _ = observe([r["text"].encode("utf-8", "surrogatepass")])
             tags = _tags(base_spans(r["text"]), start, end)
             for at in (np.flatnonzero(tags == 1)[:4] if tags.any() else [0]):
