@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,16 @@ def least_rows(rows: DataFrame, count: int, *columns: str) -> list:
     return chosen.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns]).orderBy("doc_id").collect()
 
 
+def whole_id(name: str) -> list[Column]:
+    """An id and whether it is null, for pandas: a column of longs with nulls would turn to floats."""
+    return [F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name), F.col(name).isNull().alias("no_id")]
+
+
+def id_slice(pdf, name: str, a: int, b: int):
+    """The ids of rows a to b of a frame that whole_id() selected."""
+    return pd.arrays.IntegerArray(pdf[name].to_numpy(np.int64)[a:b].copy(), pdf["no_id"].to_numpy(bool)[a:b].copy())
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagelens.llm.common import id_slice, whole_id
+
 SIGMA, RULE, FEED = 1.0, 0.7, 1 << 16
 
 #: Fixed lists of tags.
@@ -180,6 +182,6 @@ def extract_text(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 text = [main_text(h if isinstance(h, str) else None, sigma) for h in part["html"]]
-                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").to_numpy(), "url": part["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
+                yield pd.DataFrame({"page_id": id_slice(pdf, "page_id", at, at + 256), "url": part["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(*whole_id("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")

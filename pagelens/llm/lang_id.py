@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, least_rows
+from pagelens.llm.common import chunks, id_slice, least_rows, whole_id
 
 #: Fixed table: ISO 639 codes by family.
 FAMILIES = {
@@ -153,11 +153,11 @@ def identify(docs: DataFrame, model: Model | None = None, bits: int = BITS) -> D
                         lang[lettered] = [model.langs[i] for i in got]
                         score[lettered] = sure
                     yield pd.DataFrame({
-                        "doc_id": pdf["doc_id"].iloc[a + s : a + s + len(t)].astype("Int64").to_numpy(), "lang_pred": lang, "score": score,
+                        "doc_id": id_slice(pdf, "doc_id", a + s, a + s + len(t)), "lang_pred": lang, "score": score,
                         "held_out": pdf["held_out"].iloc[a + s : a + s + len(t)].to_numpy(bool),
                     })
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(
+    return docs.select(*whole_id("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(
         run, "doc_id long, lang_pred string, score double, held_out boolean"
     ).select("doc_id", "held_out", "lang_pred", "score")
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, partitions, shingle_hashes, stored
+from pagelens.llm.common import chunks, id_slice, partitions, shingle_hashes, stored, whole_id
 from pagelens.llm.components import components
 
 SHINGLE = 5
@@ -54,12 +54,12 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for a, b, texts in chunks(pdf["text"].tolist()):
                 found = shingle_hashes(texts, size)
                 yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy(),
+                    "doc_id": id_slice(pdf, "doc_id", a, b),
                     "n_shingles": [len(x) for x in found],
                     "node": pd.array([node_id(x) if len(x) else None for x in found], dtype="Int64"),
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long")
+    return docs.select(*whole_id("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, node long")
 
 
 def _tight(values: np.ndarray) -> bytes:

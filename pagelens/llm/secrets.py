@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, least_rows, word_hashes
+from pagelens.llm.common import chunks, id_slice, least_rows, whole_id, word_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns of the contract.
@@ -181,8 +181,8 @@ def _tags(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field on `sample` documents with a base span and as many others, the least by hash
-    of doc_id; of long ones the CONTEXT tokens around spans, or the first, are the example."""
+    """Fits the field on `sample` documents with a cue (those of them with a base span) and as many
+    without, the least by hash of doc_id; of long ones the CONTEXT tokens around spans, or the first, are the example."""
     cue = F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}")
     rows = docs.where("text is not null and doc_id is not null")
     seqs = []
@@ -190,6 +190,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
         for r in least_rows(rows.where(cue if with_cue else ~cue), sample, "text"):
             obs, start, end, _ = observe([r["text"].encode("utf-8", "surrogatepass")])
             tags = _tags(base_spans(r["text"]), start, end)
+            if with_cue and not tags.any():
+                continue  # what follows its cues is neither known to be a secret nor known not to be
             for at in (np.flatnonzero(tags == 1)[:4] if tags.any() else [0]):
                 a = max(0, int(at) - CONTEXT)
                 if len(tags):
@@ -226,8 +228,8 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     kinds = [k for _, k, _ in base]
                     rows.append((*[kinds.count(k) for k in range(3)], hashlib.sha256(said(base).encode()).hexdigest(), said(base + extra)))
                 out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy())
+                out.insert(0, "doc_id", id_slice(pdf, "doc_id", a, b))
                 yield out
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(*whole_id("doc_id"), "text").mapInPandas(run, schema)
