@@ -41,22 +41,25 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def levels(calls: DataFrame, rounds: int = 64) -> DataFrame:
-    """call_id, level for calls (call_id, after) with distinct, non-null ids; null on cycles."""
+def levels(calls: DataFrame) -> DataFrame:
+    """call_id, level for calls (call_id, after) with distinct, non-null ids; null on cycles.
+
+    Each round joins only the calls whose first call is not known yet with what is known of the call
+    they point at. After r rounds chains of 2^r calls are known, so what is left when 2^r exceeds
+    the number of links is on a cycle."""
     known = calls.select(F.col("call_id").alias("after"))
-    now = calls.join(known.withColumn("known", F.lit(True)), "after", "left").select("call_id", F.when(F.col("known"), F.col("after")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level"))
-    for _ in range(rounds):
-        now = stored(now, "levels")
-        # a call that still points somewhere, at one that does as well
-        if now.where("up is not null").alias("a").join(now.where("up is not null").select(F.col("call_id").alias("k")), F.col("a.up") == F.col("k"), "left_semi").isEmpty():
-            break
-        higher = now.where("up is not null").select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        now = now.join(higher, "up", "left").select("call_id", F.coalesce("next", F.when(F.col("more").isNull(), F.col("up"))).alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
-        count = now.agg(F.max("level")).first()[0]
-        if count is not None and count > 1 << 40:  # only a cycle gets this far
-            break
-    first = now.where("up is null").select(F.col("call_id").alias("up"), F.lit(True).alias("first"))
-    return now.join(first, "up", "left").select("call_id", F.when(F.col("up").isNull() | F.col("first"), F.col("level")).alias("level"))
+    edges = stored(calls.where("after is not null").join(known, "after", "left_semi").select("call_id", F.col("after").alias("up"), F.lit(1).cast("long").alias("level")), "follows")
+    heads = edges.select(F.col("call_id").alias("up"), F.lit(False).alias("inner"))
+    state = stored(edges.join(heads, "up", "left").select("call_id", "up", "level", F.coalesce("inner", F.lit(True)).alias("ends")), "levels")
+    total, rounds = edges.count(), 0
+    done, active = state.where("ends"), state.where(~F.col("ends"))
+    while (1 << rounds) <= total and not active.isEmpty():
+        next_ = done.unionByName(active).select(F.col("call_id").alias("up"), F.col("up").alias("on"), F.col("level").alias("more"), F.col("ends").alias("then"))
+        state = stored(active.select("call_id", "up", "level").join(next_, "up").select("call_id", F.col("on").alias("up"), (F.col("level") + F.col("more")).alias("level"), F.col("then").alias("ends")), "levels")
+        done, active, rounds = done.unionByName(state.where("ends")), state.where(~F.col("ends")), rounds + 1
+    first = calls.join(edges.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level"))
+    cyclic = active.select("call_id", F.lit(None).cast("long").alias("level"))
+    return first.unionByName(done.select("call_id", "level")).unionByName(cyclic)
 
 
 def checked(calls: DataFrame, schemas: dict[str, dict], keep: list[str]) -> DataFrame:
@@ -79,8 +82,12 @@ def checked(calls: DataFrame, schemas: dict[str, dict], keep: list[str]) -> Data
             out[["valid", "problems", "json"]] = pd.DataFrame(rows, columns=["valid", "problems", "json"])
             yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.select(*keep).schema.fields)
-    return calls.select(*keep, *[c for c in ("name", "arguments") if c not in keep]).mapInPandas(run, f"{fields}, valid boolean, problems string, json string")
+    # numbers pass as text: a column of longs with nulls would turn to floats in pandas
+    kinds = {f.name: f.dataType for f in calls.select(*keep).schema.fields}
+    passed = [F.col(c).cast("string").alias(c) for c in keep] + [F.col(c) for c in ("name", "arguments") if c not in keep]
+    fields = ", ".join(f"`{c}` string" for c in keep)
+    out = calls.select(*passed).mapInPandas(run, f"{fields}, valid boolean, problems string, json string")
+    return out.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], "valid", "problems", "json")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], keep: list[str]) -> tuple[DataFrame, DataFrame]:
