@@ -110,19 +110,24 @@ def _near_terms(spans: DataFrame, reach: int) -> DataFrame:
     return rows.select("doc_id", "text_key", "entity", F.explode(F.filter(both, lambda x: F.length(x["term"]) > 2)).alias("w")).select("doc_id", "text_key", "entity", "w.term", "w.start", "w.end")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT, limit: int = 8 << 20) -> DataFrame:
-    """entity, term, disclosure (PMI / IC) of the pairs found together in `support` texts."""
+def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE, limit: int = 8 << 20) -> DataFrame:
+    """entity, term, disclosure (PMI / IC) of the pairs found together in `support` texts, from
+    `least` on. A term stands in no fewer texts than those where it stands near an entity: pairs whose
+    disclosure would be too low even then, those of common words, leave before terms are counted in
+    all texts."""
     pairs = near.select("entity", "term", "text_key").distinct()
     n_e = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_et = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "pairs")
+    n_near = pairs.select("term", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    n = docs.select(F.xxhash64("text").alias("text_key")).distinct().count()
+    share = lambda texts: F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * texts)) / F.log(F.lit(float(n)) / F.col("n_e"))
+    n_et = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    n_et = n_et.join(n_e, "entity").join(n_near, "term").where((F.col("n_e") < n) & (share(F.col("n_near")) >= least))
+    n_et = stored(n_et, "pairs")
     terms = n_et.select("term").distinct()
     every = docs.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split(F.lower("text"), _OTHERS))).alias("term"))
     small = (terms.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= limit
     n_t = every.join(F.broadcast(terms) if small else terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.select(F.xxhash64("text").alias("text_key")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    n = total.first()["n"]
-    share = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return n_et.join(n_e, "entity").join(n_t, "term").where(F.col("n_e") < n).select("entity", "term", share.alias("disclosure"))
+    return n_et.join(n_t, "term").select("entity", "term", share(F.col("n_t")).alias("disclosure")).where(F.col("disclosure") >= least)
 
 
 def all_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -130,7 +135,7 @@ def all_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, gener
     generalised, `remove` to be removed), each once."""
     base = stored(base_spans(docs, reach), "spans")
     near = stored(_near_terms(base, reach), "near")
-    told = disclosing_terms(docs, near, support).where(F.col("disclosure") >= generalise)
+    told = disclosing_terms(docs, near, support, generalise)
     terms = near.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("d"))
     terms = terms.select("doc_id", "text_key", F.when(F.col("d") >= remove, "remove").otherwise("term").alias("kind"), "start", "end")
     return base.select("doc_id", "text_key", "kind", "start", "end").unionByName(terms)
