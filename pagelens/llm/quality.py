@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, word_hashes
+from pagelens.llm.common import chunks, id_slice, whole_id, word_hashes
 
 BITS, PER_GRADE, TAIL, MIN_DOCS, MIN_Z = 18, 1000, 0.4, 8, 6.0
 GRADES = 3
@@ -123,11 +123,16 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, bits:
     if len(set(ids.values())) < 2:
         return None
     chosen = docs.where(F.col("doc_id").isin(*ids)).select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    texts = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in chosen]
     grade = np.array([ids[r["doc_id"]] for r in chosen], int)
     if len(set(grade.tolist())) < 2:
         return None
-    return Ordinal.fit(*features(texts, bits), grade, bits)
+    rows, cols, at = [], [], 0
+    for _, _, texts in chunks([r["text"] for r in chosen], 256 << 10):  # few at a time: the driver is small
+        row, col = features(texts, bits)
+        rows.append((row + at).astype(np.int32))
+        cols.append(col.astype(np.int32))
+        at += len(texts)
+    return Ordinal.fit(np.concatenate(rows), np.concatenate(cols), grade, bits)
 
 
 def classify(docs: DataFrame, labels: DataFrame, tail: float = TAIL, bits: int = BITS, model: Ordinal | None = None) -> DataFrame:
@@ -139,7 +144,7 @@ def classify(docs: DataFrame, labels: DataFrame, tail: float = TAIL, bits: int =
             for a, b, texts in chunks(pdf["text"].tolist()):
                 t = np.zeros((b - a, GRADES - 1)) if model is None else model.tails(*features(texts, bits), b - a)
                 yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy(), "expected_grade": t.sum(1), "tail": t[:, -1], "selected": t[:, -1] >= tail,
+                    "doc_id": id_slice(pdf, "doc_id", a, b), "expected_grade": t.sum(1), "tail": t[:, -1], "selected": t[:, -1] >= tail,
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, expected_grade double, tail double, selected boolean")
+    return docs.select(*whole_id("doc_id"), "text").mapInPandas(run, "doc_id long, expected_grade double, tail double, selected boolean")
