@@ -106,8 +106,9 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
 
     A posting is the low 48 bits of its hash and the set's number within its batch of texts: a few
     bytes, however many buckets there are. The bucket, dealt by the high bits, is put back above the
-    48. A list's length counts a set once per batch that holds it; it is cut at 65535. It orders
-    lists, in the same way for all sets, and only lists of length one are dropped."""
+    48. Batches of the same sets (runs of copies, a table read twice) have the same name and the same
+    rows; one of each stays. A list's length counts a set once per batch that holds it; it is cut at
+    65535. It orders lists, in the same way for all sets, and only lists of length one are dropped."""
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,6 +125,8 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = np.uint64(pdf["bucket"].iloc[0])
         table = pdf["nodes"].map(len) > 0
+        once = ~pd.DataFrame({"batch": pdf["batch"], "table": table}).duplicated()
+        pdf, table = pdf[once], table[once]
         batch, idx, hashes, _ = _unpacked(pdf[~table], 6)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]

@@ -81,6 +81,21 @@ def test_join_with_repeated_and_null_ids(spark):
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [0, 2] and kept.columns == table.columns
 
 
+def test_join_of_equal_batches_equals_brute_force(spark):
+    """A table that holds everything twice, in tasks of equal texts, and runs of copies that fill more
+    than one chunk of 2 MB: no overlap is counted more than once."""
+    common = words(30, 1000)
+    texts = [f"{common} {words(20 + 5 * (i % 3), 100 * i)}" for i in range(8)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, texts + texts)).collect()}
+    assert got == brute_join(texts + texts)
+    wide = lambda a, n: " ".join(f"{i:040d}" for i in range(a, a + n))
+    long = [f"{wide(0, 8000)} {wide(20_000, 8000)}", f"{wide(10_000, 8000)} {wide(20_000, 8000)}"]
+    run = docs(spark, [t for t in long for _ in range(6)]).coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(run).collect()}
+    assert got == {i: (brute_join(long)[i // 6][0], i // 6 * 6) for i in range(12)}
+    assert {r.doc_id for r in ngram_join.keep_one(run).collect()} == {0, 6}
+
+
 def test_search_finds_all_links_across_balls():
     import numpy as np
 
