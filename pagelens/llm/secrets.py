@@ -54,7 +54,7 @@ def _hashed(word: str) -> int:
 
 
 _CUE_HASHES = np.sort(np.array([_hashed(c + e) for c in CUES for e in ("", ":", "=", '":')], np.uint64))
-SHAPES, CUE, FILE = 384, 5, 3
+SHAPES, CUE, FILE = 6 * 3 * 3 * 2 * 2 * 2, 5, 3
 OFFSETS = np.cumsum([0, SHAPES, SHAPES, SHAPES, CUE, FILE])
 N_OBS = int(OFFSETS[-1])
 
@@ -79,7 +79,6 @@ def observe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     shape = size
     for part, base in (((digit > 0) + (2 * digit > n) * 1, 3), ((upper > 0) + (2 * upper > n) * 1, 3), ((mark > 0) * 1, 2), ((hexa >= n - 2) * 1, 2), (quoted * 1, 2)):
         shape = shape * base + part
-    shape = np.minimum(shape % SHAPES, SHAPES - 1) if shape.size and shape.max() >= SHAPES else shape
     doc = np.repeat(np.arange(len(texts)), counts)
     shift = lambda a, by: np.where(np.roll(doc, by) == doc, np.roll(a, by), 0) if len(a) > abs(by) else np.zeros_like(a)
     spot = np.minimum(np.searchsorted(_CUE_HASHES, hashes), len(_CUE_HASHES) - 1)

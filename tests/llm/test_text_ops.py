@@ -251,6 +251,14 @@ def test_secrets(spark):
     assert all(r.spans == "" for r in secrets.find_secrets(docs(spark, ["plain words", None])).collect())
 
 
+def test_long_keys_and_short_words_differ_in_shape():
+    """The first pairs shared a shape while the codes of long tokens with digits were wrapped."""
+    shape = lambda token: int(secrets.observe([token.encode()])[0][0, 0])
+    digits, key = "0123456789" * 4, "q7k2m9x4" * 5
+    assert not {shape(digits), shape(key)} & {shape(w) for w in ("the", "of", "a", "you", "not", "12", "A")}
+    assert shape("'" + "1" * 60) < secrets.SHAPES
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
