@@ -6,9 +6,11 @@ bars, forms and the like, named by their tag, role, class or id, are left out as
 
 Each other line's ratio is its characters outside links over its tags. The ratios are smoothed with
 a Gaussian and split into two clusters by a threshold (Otsu's: the cut with the largest variance
-between its sides, or the mean if that is lower). The lines above it choose the region: the article or main element with most of
-their text, else the innermost element with at least RULE of it. All lines of the region that were
-not left out are the text, so short paragraphs of an article stay.
+between its sides, or the mean if that is lower). The region is all outermost article and main
+elements with a line above it or a clear line, one whose own ratio reaches the geometric mean. Where
+clear lines stand outside them, or there are none, it is the innermost element that holds all clear
+lines. All lines of the region that were not left out are the text, so short paragraphs of an article
+stay.
 
 Defined results: null html is empty; a page without text gives the empty text; an unclosed element
 ends with its parent; repeated rows and null ids are rows like others; extra columns are ignored.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from pagelens.llm.common import id_slice, whole_id
 
-SIGMA, RULE, FEED = 1.0, 0.7, 1 << 16
+SIGMA, FEED = 1.0, 1 << 16
 
 #: Fixed lists of tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,22 +158,17 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     p.close()
     if not p.lines:
         return ""
-    ratio = smoothed(np.array([plain / max(1, tags) for _, plain, tags, _ in p.lines]), sigma)
+    own = np.array([plain / max(1, tags) for _, plain, tags, _ in p.lines])
+    ratio = smoothed(own, sigma)
     cut = min(threshold(ratio), float(ratio.mean()))  # of a long tail Otsu's cut alone takes too little
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, _, path), r in zip(p.lines, ratio):
-        if r >= cut:
-            total += len(text)
-            for n in path:
-                mass[n] = mass.get(n, 0) + len(text)
-    named = [n for n in p.named if mass.get(n)]
-    if named:
-        best = max(mass[n] for n in named)
-        region = max(n for n in named if mass[n] >= RULE * best)
-    else:
-        region = max((n for n, m in mass.items() if m >= RULE * total), default=0)
-    return " ".join(text for text, _, _, path in p.lines if not region or region in path)
+    clear = np.log1p(own) >= np.log1p(own).mean()  # text by itself, however long the longest line is
+    paths = [line[3] for line in p.lines]
+    named = [next((n for n in path if n in p.named), 0) for path in paths]
+    region = {n for n, r, c in zip(named, ratio, clear) if n and (r >= cut or c)}
+    if not region or any(c and not n for n, c in zip(named, clear)):
+        shared = set.intersection(*(set(path) for path, c in zip(paths, clear) if c))
+        region = {max(shared)} if shared else set()
+    return " ".join(line[0] for line in p.lines if not region or not region.isdisjoint(line[3]))
 
 
 def extract_text(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:

@@ -351,6 +351,17 @@ def test_page_text_layouts():
     assert t("<div><p>a <b>b</b>c &lt;d&gt; &#233;</p></div>") == "a bc <d> é"
 
 
+def test_page_text_keeps_all_parts_of_the_text():
+    t = html_text.main_text
+    part = lambda name, n: f"{name} " + "some words of the text " * n
+    long, less, little = (part(x, n).strip() for x, n in (("one", 44), ("two", 33), ("three", 12)))
+    page = "<body><p>Imprint</p><div>{}</div></body>"
+    assert t(page.format(f"<article><p>{long}</p></article><article><p>{less}</p></article>")) == f"{long} {less}"
+    assert t(page.format(f"<article><p>{little}</p></article><article><p>{long}</p></article>")) == f"{little} {long}"
+    assert t(page.format(f"<main><div><p>{little}</p></div><article><p>{long}</p></article></main>")) == f"{little} {long}"
+    assert t(page.format(f"<div id=content><div><p>{long}</p></div><div><p>{little}</p></div></div>")) == f"{long} {little}"
+
+
 def test_page_text_table(spark):
     long = "words of an article that go on " * 5000
     rows = [(1, "u", f"<nav>n</nav><article><p>{long}</p></article>", 5), (None, None, None, 6), (1, "u", "<p>x</p>", 5)]
