@@ -69,7 +69,8 @@ def _valid(kind: Column, value: Column) -> Column:
 
 def base_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, text_key, kind, start, end, value, left, right: valid base spans of every whole text,
-    with up to `reach` characters of text on either side. One row for rows equal in doc_id and text."""
+    with up to `reach` characters (and one) of the text on either side, put together from the pieces
+    there, matches of the same kind among them. One row for rows equal in doc_id and text."""
     text = F.coalesce("text", F.lit(""))
     found = F.array(*[
         F.when(
@@ -79,10 +80,23 @@ def base_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
         for k in KINDS
     ])
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.filter(found, lambda x: x.isNotNull() & (F.size(x["hits"]) > 0))).alias("m"))
+    gaps, hits, wide = F.col("m.gaps"), F.col("m.hits"), F.lit(reach + 1)
+
+    def left(i: Column) -> Column:
+        n = F.least(i, F.lit(reach))
+        pieces = F.zip_with(F.slice(gaps, i - n + 1, n), F.slice(hits, i - n + 1, n), lambda g, h: F.concat(F.right(g, wide), F.right(h, wide)))
+        return F.right(F.concat(F.array_join(pieces, ""), F.right(gaps[i], wide)), wide)
+
+    def right(i: Column) -> Column:
+        n = F.least(F.size(hits) - 1 - i, F.lit(reach))
+        pieces = F.zip_with(F.slice(hits, i + 2, n), F.slice(gaps, i + 3, n), lambda h, g: F.concat(F.left(h, wide), F.left(g, wide)))
+        return F.left(F.concat(F.left(gaps[i + 1], wide), F.array_join(pieces, "")), wide)
+
+    valid = lambda v: _valid(F.col("m.kind"), v)
     rows = rows.select(
         "doc_id", "text_key", "m.kind",
-        F.posexplode(F.transform("m.hits", lambda v, i: F.struct(
-            F.length(F.col("m.gaps")[i]).alias("gap"), v.alias("value"), F.right(F.col("m.gaps")[i], F.lit(reach + 1)).alias("left"), F.left(F.col("m.gaps")[i + 1], F.lit(reach + 1)).alias("right"),
+        F.posexplode(F.transform(hits, lambda v, i: F.struct(
+            F.length(gaps[i]).alias("gap"), v.alias("value"), F.when(valid(v), left(i)).alias("left"), F.when(valid(v), right(i)).alias("right"),
         ))).alias("i", "hit"),
     ).dropDuplicates(["doc_id", "text_key", "kind", "i"])
     run = Window.partitionBy("doc_id", "text_key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

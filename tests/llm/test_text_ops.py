@@ -207,6 +207,18 @@ def test_pii_disclosing_terms(spark):
     assert clean[7].text == texts[7] and len(clean) == len(texts)
 
 
+def test_pii_context_is_the_text_around_an_entity(spark):
+    """Other matches of the entity's kind, valid or not, do not end its context."""
+    texts = [*HARD, "Zebulon, born 1980, card 4111 1111 1111 1111, 12 34 56 or " + "78 x " * 60, "😀 a@x.org, b@x.org: Zebulon"]
+    seen = pii.base_spans(docs(spark, texts)).collect()
+    assert len(seen) == sum(len(brute_pii(t)) for t in texts)
+    for r in seen:
+        t = texts[r.doc_id]
+        assert (r.left, r.right) == (t[max(0, r.start - 81) : r.start], t[r.end : r.end + 81]), (r.doc_id, r.start)
+    told = [f"{words(20, 40 * i)} Zebulon, born {1950 + i}, card 4111 1111 1111 1111" for i in range(4)] + [words(20, 400 + 40 * i) for i in range(30)]
+    assert all(f"remove:{told[r.doc_id].index('Zebulon')}:" in r.spans for r in pii.find_pii(docs(spark, told)).where("doc_id < 4").collect())
+
+
 def test_sanitised_equals_brute_force(spark):
     table = docs(spark, HARD)
     out = {r.doc_id: r.text for r in pii.sanitised(table).collect()}
