@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,29 +18,93 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own one only where the cluster names none."""
+    """The folder that driver and executors share, as the cluster names it. Without one a local
+    session gets a temporary folder; on a cluster that would lose rows without an error, so it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagelens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost
-    executor costs the tasks it ran, not the whole plan."""
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pagelens-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: lineage ends here, and a lost executor costs
+    the tasks it ran, not the whole plan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagelens-{uuid.uuid4().hex}/{name}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def least_rows(rows: DataFrame, count: int, *columns: str) -> list:
-    """`columns` of at most `count` distinct doc_ids, those with the least hash, collected. Only ids
-    are sorted; texts travel once they are chosen. Of a repeated doc_id one row is taken."""
-    ids = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(count).collect()
-    chosen = rows.where(F.col("doc_id").isin([r["doc_id"] for r in ids])).select("doc_id", *columns)
-    return chosen.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns]).orderBy("doc_id").collect()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A written table that stays until release(): results are lazy and may read it."""
+    return written(df, name)[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; call it when its results have been saved."""
+    remove(spark, _scratch(spark))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def is_small(df: DataFrame, size: Column, limit: int) -> bool:
+    """Whether the rows of df, of `size` bytes each, have at most `limit` bytes together."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
+def pulled(rows: DataFrame, small: DataFrame, key: str, total: int, spread: Column, limit: int = 1000) -> DataFrame:
+    """rows left-joined with small (key, n, further columns), n being the rows of a key and total those
+    of all. Keys with over total / limit rows, at most `limit` by arithmetic, come by broadcast to
+    where their rows are; the others are shuffled, so no key brings a task more than that."""
+    bound = max(1000, -(-total // limit))
+    values = [c for c in small.columns if c not in (key, "n")]
+    packed = small.select(key, "n", F.struct(*values).alias("_v"))
+    hot = packed.where(F.col("n") > bound).select(F.col(key).alias("_hot_key"), F.col("_v").alias("_hot"))
+    cold = packed.where(F.col("n") <= bound).select(F.col(key).alias("_cold_key"), F.col("_v").alias("_cold"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
+    out = out.join(cold, F.col("_at") == F.col("_cold_key"), "left")
+    got = F.coalesce("_hot", F.when(F.col(key).isNotNull(), F.col("_cold")))
+    return out.withColumn("_got", got).select(*rows.columns, *[F.col("_got")[c].alias(c) for c in values])
+
+
+def without(docs: DataFrame, lost: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """The rows of docs whose (doc_id, text) isn't among lost (doc_id, text_key); all columns as they
+    were. Only keys travel if they are below `limit` bytes; beyond it both sides are shuffled."""
+    doc, key = (fresh(docs.columns, c) for c in ("lost_doc", "lost_key"))
+    lost = stored(lost.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "lost")
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(F.broadcast(lost) if is_small(lost, F.lit(40), limit) else lost, on, "left_anti")
+
+
+def least_rows(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """key, doc_id: of each key at most `count` distinct doc_ids, those with the least hash. Keys are
+    few. One count by key sets a bound on the hash that some 2 count + 100 ids pass; only they are
+    ranked."""
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col(key).isNotNull()).select(key, "doc_id", share.alias("_h"))
+    bound = rows.groupBy(key).agg((F.lit(2.0 * count + 100) / F.count(F.lit(1))).alias("_bound"))
+    few = rows.join(F.broadcast(bound), key).where("_h <= _bound").select(key, "doc_id", "_h").distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_h", "doc_id"))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= count).select(key, "doc_id")
 
 
 def whole_id(name: str) -> list[Column]:

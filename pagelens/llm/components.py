@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored
+from pagelens.llm.common import pulled, remove, written
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, total: int, small: bool) -> DataFrame:
     """edges (u, v), u > v. Large star: link each larger neighbour of a node to the node's least
     neighbour. Small star: link each smaller neighbour, and the node, to it."""
+    spread = F.xxhash64("u", "v")
     if small:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        out = pulled(edges, least, "u", total, spread).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     else:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        out = pulled(both, least, "u", 2 * total, spread).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u > v").distinct()
 
 
@@ -25,11 +26,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node with a link; root is the least node reachable.
 
     Nulls link nothing, self links and repeated links are ignored, an empty table gives an empty
-    result. Hot nodes are safe: the minima combine before the shuffle and the joins back are plain
-    equi-joins that Spark can split. Each round is a written table. The number of rounds grows with
-    the logarithm of the graph; reaching `rounds` raises rather than returning a partial answer.
+    result. The minima of a hot node combine before the shuffle and go back to its links by broadcast
+    (common.pulled). Each round is a written table, which the next one replaces. The number of rounds
+    grows with the logarithm of the graph; reaching `rounds` raises rather than returning a partial
+    answer.
     """
-    now = stored(
+    spark = edges.sparkSession
+    now, path = written(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct(),
@@ -41,6 +44,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             roots = now.groupBy("v").agg(F.lit(1).alias("_")).select(F.col("v").alias("node"), F.col("v").alias("root"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        seen = mark
-        now = stored(_star(_star(now, small=False), small=True), "links")
+        seen, old = mark, path
+        now, path = written(_star(_star(now, mark[0], small=False), mark[0], small=True), "links")
+        remove(spark, old)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,13 +4,19 @@ A text is a vector of hashed character n-grams (1 to 3 code points of the lower-
 marking word ends), square-rooted and scaled to length one. First a linear classifier per language
 family, one versus the rest, picks the family; then, within it, one-versus-one linear support vector
 machines separate each pair of its languages and vote. All are squared-hinge SVMs with an L2
-penalty, trained by accelerated gradient descent on a bounded sample of labelled rows: for each
-language the `per_lang` training rows with the least hash of doc_id.
+penalty, trained by accelerated gradient descent on a bounded sample of labelled rows: for each of
+the `max_langs` languages with most rows the `per_lang` training rows with the least hash of doc_id.
+Their features are made by the tasks; the driver gets at most 2^bits numbers a row.
 
 Languages belong to the families of FAMILIES; a language not listed is a family of its own. The
 score is the sigmoid of the winner's margin over the other families times the mean sigmoid of its
 margins over its siblings, so it lies between 0 and 1.
 
+A text is `known` if the winner's own margin, not its lead, reaches a floor: FLOOR times the margin
+that all but a hundredth of the training rows reach; of texts shorter than SHORT characters, which
+show little, a share of that by their length. Text of a language never learned, or letter
+noise, lies on the far side of every classifier. One language alone has no margin: all is known.
+
 Defined results: null text, or text without a letter, is `und` with score 0; so is every text if
 there is nothing to learn from; with one language learned every text with a letter is that
 language. A null doc_id is never learned from and is not held out. Repeated rows are rows like
@@ -27,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, id_slice, least_rows, whole_id
+from pagelens.llm.common import chunks, id_slice, least_rows, whole_id, without
 
 #: Fixed table: ISO 639 codes by family.
 FAMILIES = {
@@ -41,7 +47,7 @@ FAMILIES = {
     "sinitic": "zh yue",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-BITS, PER_LANG, MIN_SCORE = 12, 400, 0.3
+BITS, PER_LANG, MAX_LANGS, FLOOR, SHORT = 12, 400, 256, 0.25, 200
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,48 +103,77 @@ class Model:
                 if self.family[a] == self.family[b]:
                     pick = (y == a) | (y == b)
                     self.pairs[a, b] = svm(x[pick], np.where(y[pick] == a, 1.0, -1.0))
+        self.floor = -np.inf
+        if self.top or self.pairs:
+            self.floor = FLOOR * float(np.quantile(self.predict(x)[2], 0.01))
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and the winner's margin of each row."""
         sure = lambda m: 1 / (1 + np.exp(-np.clip(6 * m, -50, 50)))
-        n, score = len(x), np.ones(len(x))
+        n, score, own = len(x), np.ones(len(x)), np.zeros(len(x))
         if self.top:
             margins = np.stack([x @ w[:-1] + w[-1] for w in self.top.values()], 1)
             best = margins.argmax(1)
-            others = np.sort(margins, 1)[:, -2]
+            others, own = np.sort(margins, 1)[:, -2], margins.max(1)
             score = sure((margins[np.arange(n), best] - others) / 2)
         else:
             best = np.zeros(n, int)
         lang = np.zeros(n, int)
         for f, name in enumerate(self.families):
             mine, rows = [i for i, g in enumerate(self.family) if g == name], np.flatnonzero(best == f)
-            votes, belief = np.zeros((len(rows), len(mine))), np.zeros((len(rows), len(mine)))
+            votes, belief, lead = (np.zeros((len(rows), len(mine))) for _ in range(3))
             for (a, b), w in self.pairs.items():
                 if a in mine and b in mine:
                     m = x[rows] @ w[:-1] + w[-1]
                     for k, s in ((mine.index(a), m), (mine.index(b), -m)):
                         votes[:, k] += s > 0
                         belief[:, k] += sure(s)
+                        lead[:, k] = np.maximum(lead[:, k], s)
             win = (votes + belief / (len(mine) + 1)).argmax(1)
             lang[rows] = np.array(mine)[win]
+            if not self.top:
+                own[rows] = lead[np.arange(len(rows)), win]
             if len(mine) > 1:
                 score[rows] *= belief[np.arange(len(rows)), win] / (len(mine) - 1)
-        return lang, score
+        return lang, score, own
+
+
+def _sparse(texts: list[bytes], bits: int) -> list[bytes]:
+    """The feature vectors as bytes: columns, then values."""
+    out = []
+    for row in features(texts, bits):
+        cols = np.flatnonzero(row)
+        out.append(cols.astype("<u4").tobytes() + row[cols].astype("<f4").tobytes())
+    return out
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, bits: int = BITS) -> Model:
+def _dense(packed: list[bytes], bits: int) -> np.ndarray:
+    x = np.zeros((len(packed), 1 << bits), np.float32)
+    for i, b in enumerate(packed):
+        n = len(b) // 8
+        x[i, np.frombuffer(b, "<u4", n)] = np.frombuffer(b, "<f4", n, 4 * n)
+    return x
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG, bits: int = BITS, max_langs: int = MAX_LANGS) -> Model:
     """Learns from at most per_lang rows of each language, none of them held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    x, y = [], []
-    for i, code in enumerate(langs):
-        for r in least_rows(rows.where(F.col("lang") == code), per_lang, "text"):
-            x.append(features([r["text"].encode("utf-8", "surrogatepass")], bits)[0])
-            y.append(i)
-    return Model(langs, np.stack(x), np.array(y)) if x else Model([])
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    picked = least_rows(rows.join(F.broadcast(langs), "lang", "left_semi"), "lang", per_lang)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, texts in chunks(pdf["text"].tolist()):
+                yield pdf.iloc[a:b][["lang", "doc_id"]].assign(x=_sparse(texts, bits))
 
-def identify(docs: DataFrame, model: Model | None = None, bits: int = BITS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs."""
+    found = rows.join(F.broadcast(picked), ["lang", "doc_id"]).mapInPandas(run, "lang string, doc_id long, x binary")
+    got = found.groupBy("lang", "doc_id").agg(F.min("x").alias("x")).orderBy("lang", "doc_id").collect()
+    names = sorted({r["lang"] for r in got})
+    return Model(names, _dense([r["x"] for r in got], bits), np.array([names.index(r["lang"]) for r in got])) if got else Model([])
+
+
+def _identified(docs: DataFrame, model: Model | None, bits: int) -> DataFrame:
+    """doc_id, text_key, held_out, lang_pred, score, known for every row of docs."""
     model = model or train(docs, bits=bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,23 +182,27 @@ def identify(docs: DataFrame, model: Model | None = None, bits: int = BITS) -> D
                 for s in range(0, b - a, 512):
                     t = pdf["text"].iloc[a + s : min(a + s + 512, b)]
                     lettered = np.array([isinstance(v, str) and any(map(str.isalpha, v)) for v in t])
-                    lang, score = np.array(["und"] * len(t), object), np.zeros(len(t))
+                    lang, score, known = np.array(["und"] * len(t), object), np.zeros(len(t)), np.zeros(len(t), bool)
                     if model.langs and lettered.any():
-                        got, sure = model.predict(features([r for r, ok in zip(texts[s : s + 512], lettered) if ok], bits))
+                        got, sure, own = model.predict(features([r for r, ok in zip(texts[s : s + 512], lettered) if ok], bits))
                         lang[lettered] = [model.langs[i] for i in got]
-                        score[lettered] = sure
+                        shown = np.minimum(1.0, [len(v) / SHORT for v, ok in zip(t, lettered) if ok])
+                        score[lettered], known[lettered] = sure, own >= model.floor * shown
+                    same = slice(a + s, a + s + len(t))
                     yield pd.DataFrame({
-                        "doc_id": id_slice(pdf, "doc_id", a + s, a + s + len(t)), "lang_pred": lang, "score": score,
-                        "held_out": pdf["held_out"].iloc[a + s : a + s + len(t)].to_numpy(bool),
+                        "doc_id": id_slice(pdf, "doc_id", a + s, a + s + len(t)), "text_key": pdf["text_key"].iloc[same].to_numpy(np.int64),
+                        "held_out": pdf["held_out"].iloc[same].to_numpy(bool), "lang_pred": lang, "score": score, "known": known,
                     })
 
-    return docs.select(*whole_id("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(
-        run, "doc_id long, lang_pred string, score double, held_out boolean"
-    ).select("doc_id", "held_out", "lang_pred", "score")
+    rows = docs.select(*whole_id("doc_id"), "text", F.xxhash64("text").alias("text_key"), held_out(F.col("doc_id")).alias("held_out"))
+    return rows.mapInPandas(run, "doc_id long, text_key long, held_out boolean, lang_pred string, score double, known boolean")
+
+
+def identify(docs: DataFrame, model: Model | None = None, bits: int = BITS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, known for every row of docs."""
+    return _identified(docs, model, bits).drop("text_key")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs whose language is recognised with a score of min_score at least; all columns
-    as they were. Rows of a null doc_id are kept; of rows that repeat a doc_id all stay if one does."""
-    lost = identify(docs).groupBy("doc_id").agg(F.max(F.when(F.col("lang_pred") == "und", 0.0).otherwise(F.col("score"))).alias("best")).where(F.col("best") < min_score)
-    return docs.join(lost.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def keep_identified(docs: DataFrame, model: Model | None = None, bits: int = BITS) -> DataFrame:
+    """The rows of docs whose language is known; all columns as they were."""
+    return without(docs, _identified(docs, model, bits).where("not known"))

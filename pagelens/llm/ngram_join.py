@@ -5,36 +5,42 @@ least 0.75. With T(x) = ceil(0.75 |x|), a partner of x shares at least T(x) shin
 
 1. Inverted lists. Shingles are dealt by hash; every list's length (how many different sets hold
    the shingle) is counted over the whole corpus. Lists of length one are dropped.
-2. A set with fewer than T(x) shingles in the lists that remain has no partner and leaves.
-3. DivideSkip's split with L = T(x) - 1 long lists: the remaining, shortest lists of x are merged;
-   two partners meet in one of them at least. Sets that meet, directly or in a chain, form a group.
-4. Within a group the search itself: merge of the short lists, then binary probes into the long
-   ones, and an exact test of the overlap. A group larger than `block_bytes` is searched as pairs
-   of blocks, each a task of bounded size, so no group has to fit a task.
+2. A set with fewer than T(x) shingles in the lists that remain has no partner and leaves. What is
+   left of it also bounds its partners' sizes.
+3. DivideSkip's split with L = T(x) - 1 long lists: two partners meet in one of the remaining,
+   shortest lists of x at least. In each of these short lists every set is tested exactly against
+   the list's least set; the links found give a first partition.
+4. Only lists with sets of several parts remain. Within the parts that they join, every set outside
+   the largest part is searched by T-occurrence: its short lists are merged, the ids found are probed
+   in its long lists by binary search, and those with the required overlap are links. Targets are
+   dealt in blocks of `block_bytes`, so no group has to fit a task.
 5. Links give components. Equal sets are one node throughout, so copies never meet pairwise.
 
 Defined results: null or word-free text has an empty set and links with nothing; its component is
 its own doc_id. Rows that repeat a doc_id are kept row by row. A null doc_id is kept and its
 component_id is the smallest non-null doc_id of its group, else null. Extra columns are ignored.
-Sets are compared by 64-bit shingle hashes.
+Sets are compared by 64-bit shingle hashes, all bits of which travel.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, id_slice, partitions, shingle_hashes, stored, whole_id
+from pagelens.llm.common import chunks, id_slice, partitions, pulled, shingle_hashes, stored, whole_id, without
 from pagelens.llm.components import components
 
 SHINGLE = 5
 POSTINGS = "bucket int, batch long, nodes binary, sizes binary, gaps binary, hashes binary, dfs binary"
-LOW = np.uint64((1 << 48) - 1)
+LANES, WIRE = 256, 7
+HEAP = 4096
 
 
 def needed(size):
@@ -47,7 +53,7 @@ def node_id(found: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node (64-bit digest of the set; null for the empty set)."""
+    """doc_id, text_key, n_shingles, node (64-bit digest of the set; null for the empty set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,11 +61,13 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 found = shingle_hashes(texts, size)
                 yield pd.DataFrame({
                     "doc_id": id_slice(pdf, "doc_id", a, b),
+                    "text_key": pdf["text_key"].iloc[a:b].to_numpy(np.int64),
                     "n_shingles": [len(x) for x in found],
                     "node": pd.array([node_id(x) if len(x) else None for x in found], dtype="Int64"),
                 })
 
-    return docs.select(*whole_id("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, node long")
+    rows = docs.select(*whole_id("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInPandas(run, "doc_id long, text_key long, n_shingles long, node long")
 
 
 def _tight(values: np.ndarray) -> bytes:
@@ -104,11 +112,13 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
     """Postings of the shingles that two or more sets hold, with each list's length, dealt by batch;
     and for each batch the nodes and sizes of its sets. Stage 1 of the module's outline.
 
-    A posting is the low 48 bits of its hash and the set's number within its batch of texts: a few
-    bytes, however many buckets there are. The bucket, dealt by the high bits, is put back above the
-    48. Batches of the same sets (runs of copies, a table read twice) have the same name and the same
-    rows; one of each stays. A list's length counts a set once per batch that holds it; it is cut at
-    65535. It orders lists, in the same way for all sets, and only lists of length one are dropped."""
+    Postings are dealt by lane, the top byte of the hash, and by some of the next bits where there
+    are more buckets than lanes; the other seven bytes and the set's number within its batch of texts
+    travel. Batches of the same sets (runs of copies, a table read twice) have the same name and the
+    same rows; one of each stays. A list's length counts a set once per batch that holds it; it is cut
+    at 65535. It orders lists, in the same way for all sets, and only lists of length one are dropped."""
+    parts = max(1, -(-buckets // LANES))
+    dealt_to = lambda h: (h >> np.uint64(56)) * np.uint64(parts) + ((h >> np.uint64(40)) & np.uint64(0xFFFF)) % np.uint64(parts)
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -119,15 +129,15 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
                     lens = np.array([len(x) for x in found.values()], np.int32)
                     name = node_id(nodes)
                     hashes = np.concatenate(list(found.values()))
-                    rows = _rows((hashes >> np.uint64(40)) % np.uint64(buckets), np.full(len(hashes), name), np.repeat(np.arange(len(lens)), lens), hashes, None, 6)
-                    yield _frame([*rows, (name % buckets, name, nodes.tobytes(), lens.tobytes(), b"", b"", b"")])
+                    rows = _rows(dealt_to(hashes), np.full(len(hashes), name), np.repeat(np.arange(len(lens)), lens), hashes, None, WIRE)
+                    yield _frame([*rows, (name % (LANES * parts), name, nodes.tobytes(), lens.tobytes(), b"", b"", b"")])
 
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = np.uint64(pdf["bucket"].iloc[0])
+        lane = np.uint64(int(pdf["bucket"].iloc[0]) // parts)
         table = pdf["nodes"].map(len) > 0
         once = ~pd.DataFrame({"batch": pdf["batch"], "table": table}).duplicated()
         pdf, table = pdf[once], table[once]
-        batch, idx, hashes, _ = _unpacked(pdf[~table], 6)
+        batch, idx, hashes, _ = _unpacked(pdf[~table], WIRE)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         again = hashes[1:] == hashes[:-1]
@@ -135,7 +145,7 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
         order, hashes = order[keep], hashes[keep]
         _, run, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         batch = batch[order]
-        rows = _rows(np.mod(batch, buckets), batch, idx[order], hashes | (bucket << np.uint64(48)), counts[run], 8)
+        rows = _rows(np.mod(batch, buckets), batch, idx[order], hashes | (lane << np.uint64(56)), counts[run], 8)
         tables = pdf[table].assign(bucket=np.mod(pdf.loc[table, "batch"], buckets))
         return _frame([*rows, *tables.itertuples(index=False, name=None)])
 
@@ -144,8 +154,8 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
 
 
 def candidates(postings: DataFrame) -> DataFrame:
-    """node, size, prefix (its short lists' shingles), members (all its shared shingles, sorted):
-    the sets with at least T shared shingles."""
+    """node, size, most (the largest size of a partner), prefix (its short lists' shingles), members
+    (all its shared shingles, sorted): the sets with at least T shared shingles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -162,21 +172,23 @@ def candidates(postings: DataFrame) -> DataFrame:
                 s = int(sizes[idx[a]])
                 if b - a >= needed(s):
                     mine = hashes[a:b]
-                    rows.append((int(nodes[idx[a]]), s, mine[: b - a - needed(s) + 1].astype(np.int64).tolist(), np.sort(mine).tobytes()))
-        return pd.DataFrame(rows, columns=["node", "size", "prefix", "members"])
+                    most = min(7 * (b - a) // 3 - s, 4 * s // 3)  # 7 overlap >= 3 (a + b)
+                    rows.append((int(nodes[idx[a]]), s, most, mine[: b - a - needed(s) + 1].astype(np.int64).tolist(), np.sort(mine).tobytes()))
+        return pd.DataFrame(rows, columns=["node", "size", "most", "prefix", "members"])
 
-    found = postings.groupBy("bucket").applyInPandas(run, "node long, size int, prefix array<long>, members binary")
+    found = postings.groupBy("bucket").applyInPandas(run, "node long, size int, most int, prefix array<long>, members binary")
     return found.dropDuplicates(["node"])
 
 
 class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
     def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up.setdefault(up[x], up[x])
+            x = up[x]
         return x
 
     def join(self, a: int, b: int) -> bool:
@@ -185,115 +197,165 @@ class _Union:
         return a != b
 
 
-def search(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a spanning forest of {(x, y): Jaccard >= 3/4} among `sets`; sizes are the full set
-    sizes (shingles that no other set holds are left out of `sets`).
-
-    Pivots come first: each takes its whole ball of partners by one merge of all its lists. Then
-    every set outside the largest ball is searched with DivideSkip against all sets: no pair inside
-    that ball needs a test, as it is connected already.
-    """
-    n = len(sets)
-    uf, links = _Union(n), []
-    vocab, inv = np.unique(np.concatenate(sets), return_inverse=True)
-    lens = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(n), lens)
-    at = np.concatenate(([0], np.cumsum(lens)))
-    order = np.argsort(inv, kind="stable")
-    lists, starts = owner[order], np.searchsorted(inv[order], np.arange(len(vocab) + 1))
-    length = np.diff(starts)
-
-    def link(x: int, others: np.ndarray, overlap: np.ndarray) -> np.ndarray:
-        ok = (7 * overlap >= 3 * (sizes[x] + sizes[others])) & (others != x)  # 100 i >= 75 (a + b - i)
-        for y in others[ok].tolist():
-            if uf.join(x, y):
-                links.append((x, y))
-        return others[ok]
-
-    def merged(ids: np.ndarray) -> np.ndarray:
-        return np.concatenate([lists[starts[i] : starts[i + 1]] for i in ids]) if len(ids) else np.empty(0, int)
-
-    ball, largest, free = np.full(n, -1), (0, -1), np.ones(n, bool)
-    for p in range(n):
-        if free[p]:
-            count = np.bincount(merged(inv[at[p] : at[p + 1]]), minlength=n)
-            near = np.flatnonzero(count)
-            got = link(p, near, count[near])
-            got = np.append(got[free[got]], p)
-            free[got] = False
-            ball[got] = p
-            largest = max(largest, (len(got), p))
-    for x in np.flatnonzero(ball != largest[1]).tolist():
-        t = needed(int(sizes[x]))
-        mine = inv[at[x] : at[x + 1]]
-        mine = mine[np.argsort(length[mine], kind="stable")]
-        most = int(length[mine[-1]])
-        long_ = min(t - 1, int(t / (0.01 * np.log2(most + 1) + 1)), len(mine) - 1)
-        short, probes = mine[: len(mine) - long_], mine[len(mine) - long_ :]
-        found, count = np.unique(merged(short), return_counts=True)
-        keep = count >= t - long_
-        found, count = found[keep], count[keep]
-        for i in probes if len(found) > 1 else ():
-            one = lists[starts[i] : starts[i + 1]]
-            spot = np.minimum(np.searchsorted(one, found), len(one) - 1)
-            count = count + (one[spot] == found)
-        if len(found) > 1:
-            link(x, found, count)
-    return links
+def _merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids on at least `least` of the lists, each sorted, and on how many: a merge by a heap; of very
+    many postings by numpy, which gives the same."""
+    if sum(map(len, lists)) <= HEAP:
+        runs = [(i, sum(1 for _ in same)) for i, same in groupby(heapq.merge(*[x.tolist() for x in lists]))]
+        found, count = (np.array(v, np.int64) for v in (zip(*runs) if runs else ((), ())))
+    else:
+        found, count = np.unique(np.concatenate(lists), return_counts=True)
+    return found[count >= least], count[count >= least]
+
+
+class Index:
+    """Inverted lists of sets: for each shingle the numbers of the sets that hold it, in order. With
+    the sets in order of size, a range of numbers is a range of sizes."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.words, inv = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(inv, kind="stable")
+        self.held, self.start = owner[order], np.searchsorted(inv[order], np.arange(len(self.words) + 1))
+
+    def search(self, mine: np.ndarray, least: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """DivideSkip: of the sets low .. high - 1 those that share at least `least` shingles with
+        `mine`, and how many."""
+        spot = np.minimum(np.searchsorted(self.words, mine), max(0, len(self.words) - 1))
+        spot = spot[self.words[spot] == mine] if len(self.words) else spot[:0]
+        if len(spot) < least:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lists = []
+        for i in spot:
+            one = self.held[self.start[i] : self.start[i + 1]]
+            a, b = np.searchsorted(one, (low, high))
+            if a < b:
+                lists.append(one[a:b])
+        if len(lists) < least:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lists.sort(key=len)
+        probed = min(least - 1, int(least / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
+        found, count = _merged(lists[: len(lists) - probed], least - probed)
+        for k, one in enumerate(lists[len(lists) - probed :]):
+            at = np.minimum(np.searchsorted(one, found), len(one) - 1)
+            count = count + (one[at] == found)
+            alive = count + (probed - k - 1) >= least
+            found, count = found[alive], count[alive]
+            if not len(found):
+                break
+        return found, count
+
+
+def _hits(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def tested(pairs: DataFrame, cands: DataFrame) -> DataFrame:
+    """The pairs (a, b) with Jaccard >= 0.75. b may be hot: its set is copied for every 4096 of its pairs."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("copies"))
+    right = cands.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("members").alias("members_b")).join(copies, "b")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    copied = copies.withColumnRenamed("b", "_hot").where("copies > 1")  # at most a 4096th of the pairs
+    left = pairs.join(copied, F.col("b") == F.col("_hot"), "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).select("a", "b", "salt")
+    left = left.join(cands.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("members").alias("members_a")), "a")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [
+                7 * _hits(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= 3 * (m + n)  # 100 i >= 75 (a + b - i)
+                for x, y, m, n in zip(pdf["members_a"], pdf["members_b"], pdf["size_a"], pdf["size_b"])
+            ]
+            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+    return left.join(right.drop("copies"), ["b", "salt"]).select("a", "b", "size_a", "size_b", "members_a", "members_b").mapInPandas(run, "a long, b long")
 
 
 def links(cands: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     """(a, b) node pairs with Jaccard >= 0.75 that connect all such pairs. Stages 3 and 4."""
     spark = cands.sparkSession
-    short = cands.select("node", F.explode("prefix").alias("shingle"))
-    least = short.groupBy("shingle").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    meet = short.join(least, "shingle").where("node <> pivot").select("node", "pivot").distinct()
-    groups = stored(components(meet, "node", "pivot"), "groups")
-    held = cands.select("node", "size", "members").join(groups, "node")
-    weight = held.groupBy("root").agg(F.ceil(F.sum(F.length("members") + 64) / block_bytes).cast("int").alias("blocks"))
-    tasks = 4 * partitions(spark)
-    one = F.struct(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")).alias("g"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("i", "j")).alias("lo"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("i", "j")).alias("hi"),
-    )
-    dealt = (
-        held.join(weight, "root")
-        .withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(one.alias("task"), "root", "node", "size", "members")
-    )
+    short = stored(cands.select("node", "size", "most", F.explode("prefix").alias("shingle")), "short")
+    total = short.count()
+    lists = short.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "node"))["node"].alias("pivot"), F.min("size").alias("low"), F.max("most").alias("high")).where("n > 1")
+    meet = pulled(short, lists, "shingle", total, F.xxhash64("node", "shingle"))
+    meet = stored(meet.where("pivot is not null and most >= low and size <= high").select("shingle", "node", "pivot", "size", "most"), "meet")
+    pairs = stored(meet.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    sure = stored(tested(pairs, cands), "sure")
+    parts = stored(components(sure, "a", "b"), "parts")
+    rooted = meet.select("shingle", "node").join(parts, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    mixed = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_ = pulled(rooted, mixed, "shingle", total, F.xxhash64("node", "shingle")).where("low is not null").select("node", "root", "low")
+    open_ = stored(open_.distinct(), "open")
+    groups = stored(components(open_.select("root", "low").distinct(), "root", "low").withColumnRenamed("root", "grp"), "groups")
+    nodes = open_.select("node", F.col("root").alias("part")).distinct()
+    held = stored(nodes.join(groups, F.col("part") == groups["node"]).select(nodes["node"], "part", "grp"), "held")
+    return sure.unionByName(_searched(held, cands, block_bytes, 4 * partitions(spark)))
+
+
+def _searched(held: DataFrame, cands: DataFrame, block_bytes: int, tasks: int) -> DataFrame:
+    """Links between different parts of each group: all sets outside the group's largest part are
+    queries against all its sets, these in blocks."""
+    sets = stored(held.join(cands.select("node", "size", "most", "members"), "node"), "sets")
+    weight = lambda: F.sum(F.length("members") + 64)
+    by_part = sets.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("sets"), weight().alias("bytes"))
+    group = by_part.groupBy("grp").agg(F.sum("sets").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("main"))
+    blocks = lambda b: F.greatest(F.lit(1), F.ceil(b / block_bytes)).cast("int")
+    group = group.select("grp", "n", blocks(F.col("bytes")).alias("t"), blocks(F.col("bytes") - F.col("main.bytes")).alias("q"), F.col("main.part").alias("main"))
+    dealt = pulled(sets, group, "grp", sets.count(), F.xxhash64("node"))
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    targets = dealt.withColumn("ti", at("t")).withColumn("qi", every("q")).withColumn("asks", F.lit(False))
+    queries = dealt.where("part <> main").withColumn("qi", at("q")).withColumn("ti", every("t")).withColumn("asks", F.lit(True))
+    alone = (F.col("t") == 1) & (F.col("q") == 1)
+    task = F.struct(F.when(alone, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.col("grp")).alias("g"), F.when(alone, -1).otherwise(F.col("ti")).alias("t"), F.when(alone, -1).otherwise(F.col("qi")).alias("q"))
+    dealt = targets.unionByName(queries).select(task.alias("task"), "grp", "node", "part", "size", "most", "members", "asks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby("root", sort=False):
-            if len(g) > 1:
-                node = g["node"].tolist()
-                sets = [np.frombuffer(m, np.uint64) for m in g["members"]]
-                out += [(node[x], node[y]) for x, y in search(g["size"].to_numpy(np.int64), sets)]
+        for _, g in pdf.groupby("grp", sort=False):
+            asks = g["asks"].to_numpy(bool)
+            t, q = g[~asks].sort_values("size", kind="stable"), g[asks]
+            index = Index([np.frombuffer(m, np.uint64) for m in t["members"]])
+            size, part, node = (t[c].to_numpy(np.int64) for c in ("size", "part", "node"))
+            joined = _Union()
+            low, high = (np.searchsorted(size, needed(q["size"].to_numpy(np.int64)), "left"), np.searchsorted(size, q["most"], "right"))
+            for (n, p, s, m), a, b in zip(q[["node", "part", "size", "members"]].itertuples(index=False, name=None), low.tolist(), high.tolist()):
+                found, overlap = index.search(np.frombuffer(m, np.uint64), needed(s), a, b)
+                ok = (7 * overlap >= 3 * (s + size[found])) & (part[found] != p)
+                out += [(n, int(node[y])) for y in found[ok].tolist() if joined.join(p, int(part[y]))]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return dealt.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text, ...)."""
+def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, n_shingles, first (no_id, doc_id, text_key of the first document of its
+    component, ids in order, null last; null for empty sets) for every row of docs."""
     spark = docs.sparkSession
     sets = stored(shingle_sets(docs, size), "sets")
     cands = stored(candidates(shared_postings(docs, partitions(spark), size)), "candidates")
     comp = stored(components(links(cands), "a", "b"), "components")
-    rows = (
-        sets.join(comp, sets["node"] == comp["node"], "left")
-        .select("doc_id", "n_shingles", F.coalesce(comp["root"], sets["node"]).alias("root"))
-    )
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    )
+    mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min(mine).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = stored(nodes.join(comp, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")), "nodes")
+    roots = nodes.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = pulled(nodes.select("node", F.col("n").alias("copies"), "first", "root"), roots, "root", nodes.count(), F.xxhash64("node"))
+    least = least.select("node", F.col("copies").alias("n"), F.coalesce("least", "first").alias("first")).where("n > 1 or least is not null")
+    least = least.select("node", "n", "first")
+    rows = pulled(sets, stored(least, "least"), "node", sets.count(), F.xxhash64("doc_id", "text_key"))
+    return rows.withColumn("first", F.when(F.col("node").isNotNull(), F.coalesce("first", mine)))
+
+
+def ngram_join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text, ...)."""
+    return grouped(docs, size).select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; all columns as they were.
-    Of rows that repeat such a doc_id within one component all stay. Null doc_ids are kept."""
-    lost = ngram_join(docs, size).where("component_id <> doc_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each component and those without words; all columns as they were. The
+    first has the least doc_id, ids before nulls, and of rows that share it the least digest of the
+    text: rows are decided by id and text, so a repeated id loses no text that no other row stands
+    for. Rows equal in both stay together."""
+    lost = grouped(docs, size).where("first is not null and not (doc_id <=> first.doc_id and text_key = first.text_key)")
+    return without(docs, lost)

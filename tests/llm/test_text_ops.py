@@ -76,7 +76,8 @@ def test_join_with_repeated_and_null_ids(spark):
     got = sorted((tuple(r) for r in ngram_join.ngram_join(table).collect()), key=repr)
     assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 1, None), (None, 0, None), (None, 2, 5)], key=repr)
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
-    assert ngram_join.keep_one(table).count() == 5
+    kept = sorted((tuple(r) for r in ngram_join.keep_one(table).select("doc_id", "text").collect()), key=repr)
+    assert kept == sorted([(5, "a b c d e f")] * 2 + [(None, "x y"), (None, None)], key=repr)
     kept = ngram_join.keep_one(docs(spark, ["a b c d e f", "a b c d e f", "z"]))
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [0, 2] and kept.columns == table.columns
 
@@ -96,12 +97,35 @@ def test_join_of_equal_batches_equals_brute_force(spark):
     assert {r.doc_id for r in ngram_join.keep_one(run).collect()} == {0, 6}
 
 
-def test_search_finds_all_links_across_balls():
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    a, b = "a b c d e f g", "h i j k l m n"
+    table = docs(spark, [a, a, b, b, a + " z"], [5, 9, 5, 3, 5])
+    assert sorted((r.doc_id, r.text[0]) for r in ngram_join.keep_one(table).collect()) == [(3, "h"), (5, "a")]
+
+
+def test_divide_skip_equals_a_count_of_all(monkeypatch):
     import numpy as np
 
-    sets = [np.array(sorted(range(k, k + 40)), np.uint64) for k in range(0, 30, 2)]
-    found = ngram_join.search(np.array([40] * len(sets)), sets)
-    assert len(found) == len(sets) - 1
+    rng = np.random.default_rng(3)
+    common = np.arange(40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(common, 25, replace=False), rng.integers(100, 160, 12).astype(np.uint64)))) for _ in range(80)]
+    index = ngram_join.Index(sets)
+    for heap in (4096, 0):
+        monkeypatch.setattr(ngram_join, "HEAP", heap)
+        for x in sets:
+            for least in (1, 12, 20, 30):
+                found, count = index.search(x, least, 0, len(sets))
+                both = {i: len(set(x.tolist()) & set(y.tolist())) for i, y in enumerate(sets)}
+                assert dict(zip(found.tolist(), count.tolist())) == {i: n for i, n in both.items() if n >= least}
+
+
+def test_join_of_many_sets_around_one_passage(spark):
+    """20 000 small sets that share a passage, far from each other: their sizes rule all pairs out."""
+    texts = [f"{words(7)} u{i}" for i in range(20_000)] + [words(7) + " u5"]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs(spark, texts)).collect()}
+    assert got[20_000] == 5 and all(got[i] == i for i in range(20_000))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs(spark, [*texts, words(7)])).collect()}
+    assert set(got.values()) == {0}  # the bare passage links with each of them
 
 
 # ---------------------------------------------------------------- decontamination
@@ -323,6 +347,27 @@ def test_language_edges(spark):
     assert none.lang_pred == "und" and lang_id.identify(table.limit(0)).count() == 0
 
 
+def test_unknown_languages_and_noise_go(spark):
+    import random
+
+    rng = random.Random(1)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(n)) for n in (500, 5000)]
+    other = ["кошка и собака живут в доме у реки и едят рыбу " * 3, "kot i pies mieszkają w domu nad rzeką i jedzą ryby " * 3, None, "12 34", ""]
+    extra = spark.createDataFrame([(10_000_000 + i, t, "en") for i, t in enumerate(noise + other)], d.schema)
+    model = lang_id.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    kept = {r.doc_id for r in lang_id.keep_identified(d.unionByName(extra), model).select("doc_id").collect()}
+    assert not any(i in kept for i in range(10_000_000, 10_000_000 + len(noise + other)))
+    lettered = {r.doc_id for r in d.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert kept <= lettered and len(kept) >= 0.997 * len(lettered)
+
+
+def test_language_of_a_very_long_text(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one = spark.createDataFrame([(1, "the house and the " * 200_000, None)], d.schema)
+    assert lang_id.identify(one, lang_id.train(d)).first().lang_pred == "en"
+
+
 def test_prediction_ignores_lang(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = lang_id.train(d)
