@@ -3,11 +3,22 @@
 Tokens are the white-space words of the whole text. Each has observations: its own shape (length,
 digits, capitals, punctuation, hexadecimal), the shapes of both neighbours, whether one of the three
 words before, or its own start, is a cue such as `password` or `token`, and a feature of the file
-(cues seen in it). The field tags them begin, inside or outside a secret; weights are fitted by
-gradient ascent on the conditional likelihood of a bounded sample of documents, half of them with a
-base span, labelled by the base spans; Viterbi decodes the best path over each whole document.
-A run of begin and inside is one span of kind `crf`, unless a base span overlaps it. Base spans are
-always kept.
+(cues seen in it). The field tags them begin, inside or outside a secret; Viterbi decodes the best
+path over each whole document. A run of begin and inside is one span of kind `crf`, unless a base
+span overlaps it. Base spans are always kept.
+
+The field is taught more than the patterns know. Labels are the values of base spans; every training
+document with one is seen again with its secrets redrawn from other alphabets, behind other cues and
+signs, few of which a pattern has. Views of all documents with the neighbours' shapes withheld, and of
+redrawn ones also with cues withheld or shapes made coarse, keep one kind of evidence from standing for
+all. Weights are fitted by gradient ascent on the conditional likelihood of whole documents, cut in
+pieces between tokens outside any secret. The sample is bounded: of the `pool` documents with the least
+hash of doc_id, of at most `max_bytes`, `sample` with a cue and `sample` without. Their observations
+are made by the tasks.
+
+Long texts are decoded in blocks: the best way through a block from each tag to each is a max-plus
+matrix, all blocks in step; the matrices are multiplied along the text, and all blocks are traced back
+in step.
 
 Defined results: null text is empty and has no spans; without training documents, or without a base
 span among them, the field adds nothing. Repeated rows and null ids are rows like others. Extra
@@ -17,6 +28,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -25,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, id_slice, least_rows, whole_id, word_hashes
+from pagelens.llm.common import chunks, id_slice, stored, whole_id, word_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns of the contract.
@@ -35,7 +47,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Fixed cue words.
 CUES = "password passwd pwd secret token apikey api_key key auth bearer credential private_key access_key client_secret".split()
 _STEMS = re.compile("|".join(["passw", "secret", "token", "api_?key"]), re.I | re.A)
-SAMPLE, CONTEXT = 400, 40
+SAMPLE, POOL, MAX_BYTES, PIECE, BLOCK = 200, 16000, 1 << 16, 48, 128
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,6 +69,19 @@ _CUE_HASHES = np.sort(np.array([_hashed(c + e) for c in CUES for e in ("", ":",
 SHAPES, CUE, FILE = 6 * 3 * 3 * 2 * 2 * 2, 5, 3
 OFFSETS = np.cumsum([0, SHAPES, SHAPES, SHAPES, CUE, FILE])
 N_OBS = int(OFFSETS[-1])
+_BASES = (6, 3, 3, 2, 2, 2)
+
+
+def _factors() -> np.ndarray:
+    """Shapes x their parts: length, digits, capitals, marks, hexadecimal, quoted; each with a cell."""
+    code, out = np.arange(SHAPES), []
+    for base in reversed(_BASES):
+        out.append(np.eye(base)[code % base])
+        code = code // base
+    return np.concatenate(out, 1)
+
+
+FACTORS = _factors()
 
 
 def observe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,72 +124,124 @@ class Field:
         self.emit, self.move = emit, move
 
     @staticmethod
-    def fit(seqs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.5, penalty: float = 1e-3) -> Field:
-        """seqs: (observations, tags). AdaGrad on the mean conditional log-likelihood."""
+    def fit(seqs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.5, penalty: float = 1e-3) -> Field:
+        """seqs: (observations, tags). AdaGrad on the mean conditional log-likelihood. A token's own
+        shape weighs what its parts weigh and little of its own, so that unseen shapes are judged by
+        their parts."""
         emit, move = np.zeros((N_OBS, 3)), np.zeros((3, 3))
         move[0, 2] = -8.0  # inside never follows outside
         n, width = len(seqs), max(len(t) for _, t in seqs)
-        obs, tags, live = np.zeros((n, width, 5), int), np.zeros((n, width), int), np.zeros((n, width), bool)
-        for i, (o, t) in enumerate(seqs):
-            obs[i, : len(t)], tags[i, : len(t)], live[i, : len(t)] = o, t, True
+        known, inv = np.unique(np.concatenate([o for o, _ in seqs]), axis=0, return_inverse=True)
+        seq = np.repeat(np.arange(n), [len(t) for _, t in seqs])
+        pos = np.concatenate([np.arange(len(t)) for _, t in seqs])
+        tags = np.concatenate([t for _, t in seqs])
+        live = np.zeros((width, n), bool)  # positions first: all sequences advance in step
+        live[pos, seq] = True
+        gold_e = np.stack([np.bincount(inv, tags == k, len(known)) for k in range(3)], 1)
+        follows = np.flatnonzero(pos[1:] > 0)
+        gold_m = np.bincount(tags[follows] * 3 + tags[follows + 1], minlength=9).reshape(3, 3)
         seen_e, seen_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-        gold = np.zeros((n, width, 3))
-        np.put_along_axis(gold, tags[..., None], 1.0, 2)
-        gold *= live[..., None]
-        pair = live[:, 1:] & live[:, :-1]
-        gold_m = np.zeros((3, 3))
-        np.add.at(gold_m, (tags[:, :-1][pair], tags[:, 1:][pair]), 1)
+        part, whole = np.zeros((FACTORS.shape[1], 3)), np.zeros((SHAPES, 3))  # a token's own shape: its parts' weights and its own
+        seen_p, seen_w = np.full_like(part, 1e-8), np.full_like(whole, 1e-8)
+        psi, alpha, beta, norm = np.ones((width, n, 3)), np.zeros((width, n, 3)), np.ones((width, n, 3)), np.ones((width, n))
         for _ in range(rounds):
-            score = emit[obs].sum(2)
-            top = lambda x, axis: (lambda m: m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis)))(x.max(axis))
-            alpha, beta = np.zeros((n, width, 3)), np.zeros((n, width, 3))
-            alpha[:, 0] = score[:, 0]
-            for t in range(1, width):
-                alpha[:, t] = np.where(live[:, t, None], top(alpha[:, t - 1, :, None] + move, 1) + score[:, t], alpha[:, t - 1])
+            score = emit[known].sum(1)
+            psi[pos, seq] = np.exp(score - score.max(1, keepdims=True))[inv]
+            step = np.exp(move)
+            two = np.zeros((3, 3))
+            for t in range(width):
+                a = psi[0] if t == 0 else (alpha[t - 1] @ step) * psi[t]
+                norm[t] = np.where(live[t], a.sum(1), 1.0)
+                alpha[t] = np.where(live[t, :, None], a / norm[t, :, None], 0.0)
             for t in range(width - 2, -1, -1):
-                beta[:, t] = np.where(live[:, t + 1, None], top(move + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-            z = top(alpha[:, -1], 1)
-            soft = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
-            two = np.exp(alpha[:, :-1, :, None] + move + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[..., None, None]
+                ahead = psi[t + 1] * beta[t + 1] / norm[t + 1, :, None] * live[t + 1, :, None]
+                beta[t] = np.where(live[t + 1, :, None], ahead @ step.T, 1.0)
+                two += alpha[t].T @ ahead * step
+            soft = (alpha * beta)[pos, seq]
+            gap = gold_e - np.stack([np.bincount(inv, soft[:, k], len(known)) for k in range(3)], 1)
             grad = np.zeros_like(emit)
-            for k in range(5):
-                np.add.at(grad, obs[..., k], (gold - soft))
-            grad = grad / n - penalty * emit
-            grad_m = (gold_m - two.sum((0, 1))) / n
+            for k in range(known.shape[1]):
+                for tag in range(3):
+                    grad[:, tag] += np.bincount(known[:, k], gap[:, tag], N_OBS)
+            grad /= n
+            grad_p, grad_w = FACTORS.T @ grad[:SHAPES] - penalty * part, grad[:SHAPES] - 10 * penalty * whole
+            seen_p += grad_p**2
+            seen_w += grad_w**2
+            part += rate * grad_p / np.sqrt(seen_p)
+            whole += rate * 0.1 * grad_w / np.sqrt(seen_w)
+            grad -= penalty * emit
+            grad_m = (gold_m - two) / n
             grad_m[0, 2] = 0
             seen_e += grad**2
             seen_m += grad_m**2
             emit += rate * grad / np.sqrt(seen_e)
+            emit[:SHAPES] = FACTORS @ part + whole
             move += rate * grad_m / np.sqrt(seen_m)
         return Field(emit, move)
 
-    def decode(self, obs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Viterbi tags of all tokens; texts advance side by side, the long ones last alone."""
+    def decode(self, obs: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """Viterbi tags of all tokens."""
         score = self.emit[obs].sum(1)
-        begins = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
-        begins, left = begins[order], counts[order]
-        back = np.zeros((len(score), 3), np.int8)
-        tags = np.zeros(len(score), np.int8)
-        if not len(order):
-            return tags
-        start = np.array([0.0, 0.0, -8.0])
-        best = score[begins] + start
-        best[:, 2] -= 1e3
-        for t in range(1, int(left[0])):
-            k = int(np.searchsorted(-left, -t, side="left"))  # texts with more than t tokens come first
-            step = best[:k, :, None] + self.move
-            at = step.argmax(1)
-            back[begins[:k] + t] = at
-            best[:k] = np.take_along_axis(step, at[:, None], 1)[:, 0] + score[begins[:k] + t]
-        tag = best.argmax(1)
-        for t in range(int(left[0]) - 1, -1, -1):
-            k = int(np.searchsorted(-left, -t, side="left"))
-            spot = begins[:k] + t
-            tags[spot] = tag[:k]
-            tag[:k] = np.take_along_axis(back[spot], tag[:k, None], 1)[:, 0]
-        return tags
+        n = len(score)
+        if not n:
+            return np.zeros(0, np.int8)
+        counts = counts[counts > 0]
+        per = -(-counts // block)  # blocks of each text
+        owner = np.repeat(np.arange(len(counts)), per)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        begin = (np.cumsum(counts) - counts)[owner] + nth * block
+        size = np.minimum(block, counts[owner] - nth * block)
+        order = np.argsort(-size, kind="stable")  # blocks with more than t tokens come first
+        begin, size = begin[order], size[order]
+        live = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]))]
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        last = np.cumsum(per) - 1
+        first = last - per + 1
+        lead = place[first]
+        begun = score[begin[lead]] + np.array([0.0, 0.0, -1e9])  # a text never starts inside
+        into = self.move + score[begin][:, None, :]  # best way from the tag before the block to its t-th tag
+        into[lead] = begun[:, None, :]
+        for t in range(1, len(live)):
+            k = live[t]
+            into[:k] = (into[:k, :, :, None] + self.move).max(2) + score[begin[:k] + t][:, None, :]
+        entry = np.zeros((len(size), 3))  # best score of each tag before the block
+        best = into[lead, 0].copy()
+        texts = np.argsort(-per, kind="stable")
+        deep = [int(np.searchsorted(-per[texts], -j, side="left")) for j in range(int(per.max()))]
+        for j in range(1, len(deep)):
+            rows = texts[: deep[j]]
+            mine = place[first[rows] + j]
+            entry[mine] = best[rows]
+            best[rows] = (best[rows][:, :, None] + into[mine]).max(1)
+        # forward again with pointers, each block from its own entry
+        back = np.zeros((n, 3), np.int8)
+        step = entry[:, :, None] + self.move
+        back[begin] = step.argmax(1)
+        now = step.max(1) + score[begin]
+        now[lead] = begun
+        for t in range(1, len(live)):
+            k = live[t]
+            step = now[:k, :, None] + self.move
+            back[begin[:k] + t] = step.argmax(1)
+            now[:k] = step.max(1) + score[begin[:k] + t]
+        # trace every block back from each of its last tags; then choose along the text
+        way = np.zeros((n, 3), np.int8)
+        tag = np.tile(np.arange(3, dtype=np.int8), (len(size), 1))
+        for t in range(len(live) - 1, -1, -1):
+            k = live[t]
+            spot = begin[:k] + t
+            way[spot] = tag[:k]
+            tag[:k] = np.take_along_axis(back[spot], tag[:k], 1)
+        chosen = np.zeros(len(size), np.int8)
+        end = now[place[last]].argmax(1).astype(np.int8)
+        for j in range(len(deep)):
+            rows = texts[: deep[j]]
+            mine = place[last[rows] - j]
+            chosen[mine] = end[rows]
+            end[rows] = tag[mine, end[rows]]
+        whole = np.repeat(chosen[place], size[place])
+        return way[np.arange(n), whole]
 
 
 def _tags(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -179,23 +256,107 @@ def _tags(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray)
     return tags
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field on `sample` documents with a cue (those of them with a base span) and as many
-    without, the least by hash of doc_id; of long ones the CONTEXT tokens around spans, or the first, are the example."""
-    cue = F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}")
+#: Alphabets, signs and lengths of redrawn secrets.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = ("0123456789abcdef", "0123456789" + _LETTERS, "0123456789" + _LETTERS + _LETTERS.upper(), "0123456789+/" + _LETTERS + _LETTERS.upper(), "0123456789" + _LETTERS.upper())
+SIGNS = (" = ", ": ", " ", " is ", " := ")
+
+
+def redrawn(text: str, spans: list[tuple[int, int, int]], seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with each secret redrawn from another alphabet and, where it is an assignment, another
+    cue and sign; and where the new secrets stand."""
+    rng, out, found, at, size = random.Random(seed), [], [], 0, 0
+    for a, kind, b in spans:
+        if a < at:
+            continue
+        value = "".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(16, 48)))
+        quote = rng.choice(('"', "'", "", ""))
+        lead = text[at:a] + (rng.choice(CUES) + rng.choice(SIGNS) + quote if kind == 0 else "")
+        out += [lead, value, quote if kind == 0 else ""]
+        found.append((size + len(lead), 2, size + len(lead) + len(value)))
+        size, at = size + sum(map(len, out[-3:])), b
+        while kind == 0 and at < len(text) and text[at] in "\"'":
+            at += 1
+    return "".join([*out, text[at:]]), found
+
+
+def _withheld(obs: np.ndarray) -> Iterator[np.ndarray]:
+    """Observations without the neighbours' shapes: so, without cues, and with the shapes' length,
+    mark and hexadecimal part withheld."""
+    bare = obs.copy()
+    bare[:, 1], bare[:, 2] = OFFSETS[1], OFFSETS[2]
+    yield bare
+    cueless = bare.copy()
+    cueless[:, 3], cueless[:, 4] = OFFSETS[3], OFFSETS[4]
+    yield cueless
+    coarse = bare.copy()
+    mixed = (bare[:, 0] // 24 % 3 > 0) & (bare[:, 0] // 72 >= 2)
+    coarse[mixed, 0] = 2 * 72 + bare[mixed, 0] % 72 // 8 * 8
+    yield coarse
+
+
+def _pieces(obs: np.ndarray, tags: np.ndarray, piece: int = PIECE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The whole sequence in pieces of about `piece` tokens, each starting outside a secret."""
+    out, a = [], 0
+    while a < len(tags):
+        b = min(a + piece, len(tags))
+        while b < len(tags) and tags[b]:
+            b += 1
+        out.append((obs[a:b], tags[a:b]))
+        a = b
+    return out
+
+
+_CUE = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}|pwd|bearer|credential"
+
+
+def examples(docs: DataFrame, sample: int = SAMPLE, pool: int = POOL, max_bytes: int = MAX_BYTES) -> list:
+    """cue, obs, tags of the training documents, and obs2, tags2 of them redrawn, made in one pass over
+    the texts."""
     rows = docs.where("text is not null and doc_id is not null")
-    seqs = []
-    for with_cue in (True, False):
-        for r in least_rows(rows.where(cue if with_cue else ~cue), sample, "text"):
-            obs, start, end, _ = observe([r["text"].encode("utf-8", "surrogatepass")])
-            tags = _tags(base_spans(r["text"]), start, end)
-            if with_cue and not tags.any():
-                continue  # what follows its cues is neither known to be a secret nor known not to be
-            for at in (np.flatnonzero(tags == 1)[:4] if tags.any() else [0]):
-                a = max(0, int(at) - CONTEXT)
-                if len(tags):
-                    seqs.append((obs[a : at + CONTEXT], tags[a : at + CONTEXT]))
-    return Field.fit(seqs) if any((t > 0).any() for _, t in seqs) else Field()
+    total = max(1, docs.count())
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    rows = rows.select(F.col("doc_id").cast("long"), "text", share.alias("h")).where((F.col("h") <= pool / total) & (F.octet_length("text") <= max_bytes))
+    rows = rows.withColumn("cue", F.col("text").rlike(_CUE)).where(F.col("cue") | (F.col("h") <= 2.0 * sample / total))
+
+    def observed(raw: bytes, spans: list) -> tuple[bytes, bytes]:
+        obs, start, end, _ = observe([raw])
+        return obs.astype("<u2").tobytes(), _tags(spans, start, end).astype(np.uint8).tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, texts in chunks(pdf["text"].tolist(), 256 << 10):
+                packed = []
+                for raw, text, seed in zip(texts, pdf["text"].iloc[a:b], pdf["seed"].iloc[a:b]):
+                    spans = base_spans(text)
+                    views = [observed(raw, spans)]
+                    if spans:
+                        other, placed = redrawn(text, spans, int(seed))
+                        views.append(observed(other.encode("utf-8", "surrogatepass"), placed))
+                    packed.append([x for view in views for x in view] + [b""] * (4 - 2 * len(views)))
+                out = pdf.iloc[a:b][["doc_id", "h", "cue"]].reset_index(drop=True)
+                out[["obs", "tags", "obs2", "tags2"]] = pd.DataFrame(packed, columns=["obs", "tags", "obs2", "tags2"])
+                yield out
+
+    made = rows.select("doc_id", "text", "h", "cue", F.hash("doc_id").alias("seed")).mapInPandas(run, "doc_id long, h double, cue boolean, obs binary, tags binary, obs2 binary, tags2 binary")
+    made = stored(made.dropDuplicates(["doc_id", "cue"]), "examples")
+    return [r for cue in (True, False) for r in made.where(F.col("cue") == cue).orderBy("h", "doc_id").limit(sample).collect()]
+
+
+def train(docs: DataFrame, **options) -> Field:
+    seqs, found = [], False
+    unpacked = lambda o, t: (np.frombuffer(o, "<u2").reshape(-1, len(OFFSETS) - 1).astype(int), np.frombuffer(t, np.uint8).astype(int))
+    for r in examples(docs, **options):
+        obs, tags = unpacked(r["obs"], r["tags"])
+        if r["cue"] and not tags.any():
+            continue  # what follows its cues is neither known to be a secret nor known not to be
+        found |= bool(tags.any())
+        seqs += _pieces(obs, tags) + _pieces(next(_withheld(obs)), tags)
+        if r["tags2"]:
+            obs, tags = unpacked(r["obs2"], r["tags2"])
+            for one in (obs, *_withheld(obs)):
+                seqs += _pieces(one, tags)
+    return Field.fit(seqs) if found else Field()
 
 
 def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:

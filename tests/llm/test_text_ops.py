@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -296,8 +297,6 @@ def test_long_keys_and_short_words_differ_in_shape():
 
 
 def test_viterbi_equals_brute_force():
-    import itertools
-
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -305,6 +304,9 @@ def test_viterbi_equals_brute_force():
     counts = np.array([4, 0, 1, 6])
     obs = rng.integers(0, secrets.N_OBS, (counts.sum(), 5))
     tags, at = field.decode(obs, counts), 0
+    for block in (1, 2, 3, 5):
+        assert (field.decode(obs, counts, block) == tags).all()
+    assert len(field.decode(obs[:0], counts[:0])) == 0
     for n in counts:
         s = field.emit[obs[at : at + n]].sum(1)
         paths = [p for p in itertools.product(range(3), repeat=int(n)) if not p or p[0] != 2]
@@ -313,6 +315,20 @@ def test_viterbi_equals_brute_force():
         at += n
 
 
+def test_field_learns_the_gold_tags():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    seqs = []
+    for _ in range(40):
+        o = np.stack([rng.integers(a, b, 30) for a, b in itertools.pairwise(secrets.OFFSETS)], 1)
+        t = (o[:, 3] == secrets.OFFSETS[3] + 2).astype(int)
+        t[1:][(t[:-1] == 1) & (t[1:] == 0)] = 2
+        seqs.append((o, t))
+    field = secrets.Field.fit(seqs)
+    assert np.mean([(field.decode(o, np.array([len(t)])) == t).mean() for o, t in seqs]) > 0.97
+
+
 def test_crf_finds_what_the_patterns_miss(spark):
     """Trained on assignments; a cue followed by a secret of the same shape, without the sign."""
     import random
@@ -325,6 +341,40 @@ def test_crf_finds_what_the_patterns_miss(spark):
     assert got[80].startswith("crf:") and all(got[i] == "" for i in range(40, 80))
 
 
+def test_crf_on_secrets_that_no_pattern_has(spark):
+    """Planted in real texts in forms that the training patterns don't have: precision and recall."""
+    import random
+    import string
+
+    rng = random.Random(9)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = [r.text for r in d.where("doc_id % 5 = 0").collect() if r.text and not brute_secrets(r.text)]
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows, planted = [], {}
+    for i, t in enumerate(plain):
+        w = t.split()
+        if i % 2 and len(w) > 3:
+            at, k = rng.randrange(1, len(w)), key(rng.choice([28, 40]))
+            w[at:at] = [rng.choice(["bearer", "pwd", "credential", "auth", "token"]), k]
+            planted[i] = k
+        rows.append((i, " ".join(w)))
+    field = secrets.train(d)
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    right = wrong = 0
+    for i, t in rows:
+        for _, a, b in (x.split(":") for x in got[i].split(",") if x.startswith("crf")):
+            good = planted.get(i) is not None and planted[i] in t[int(a) : int(b)]
+            right, wrong = right + good, wrong + (not good)
+    print("crf: planted", len(planted), "found", right, "wrong", wrong)
+    assert right >= 0.9 * len(planted) and wrong <= 0.1 * (right + wrong)
+
+
+def test_long_text_with_secrets(spark):
+    text = f"{words(150_000)} token = {'a1' * 20} {words(3)}"
+    got = secrets.find_secrets(docs(spark, [text])).first()
+    assert got.n_assign == 1 and got.n_hex == 1
+
+
 # ---------------------------------------------------------------- language, quality, page text
 
 
