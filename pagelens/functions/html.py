@@ -121,6 +121,14 @@ class TreeBuilder(HTMLParser):
     def unknown_decl(self, data: str) -> None:
         pass
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """An unknown `<![...` is a comment up to the next `>`, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+
     def finish(self, html: str) -> Node:
         self.feed(html)
         left = self.rawdata if self.cdata_elem else ""
