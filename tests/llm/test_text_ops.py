@@ -510,6 +510,81 @@ def test_page_text_keeps_all_parts_of_the_text():
     assert t(page.format(f"<div id=content><div><p>{long}</p></div><div><p>{little}</p></div></div>")) == f"{long} {little}"
 
 
+LONG = "This is a paragraph of the article with enough words to count as text, and then some more of them."
+
+
+def test_page_text_survives_hard_markup():
+    t = html_text.main_text
+    two = f"<p>{LONG}</p><p>{LONG}</p>"
+    assert t("<html><head><title>x</title><body><p>hello world</p>") == "hello world"
+    assert t("<head><title>x</title><p>no body tag</p>") == "no body tag"
+    assert t(f'<body><form id="aspnetForm"><div>{two}</div><label>Name</label><input></form></body>') == f"{LONG} {LONG}"
+    assert t(f'<article><h1 class="header">Head</h1>{two}</article>') == f"Head {LONG} {LONG}"
+    assert t(f"<p>a <![foo[ b ]]> c</p><p>{LONG}</p>") == f"a c {LONG}"
+    noise = "".join(f'<div class="{c}"><p>{LONG} Not this.</p></div>' for c in ("comment-body", "post-comments", "notice-text", "sidebar-content", "content-ad", "page-footer"))
+    assert t(f"<div id=c>{two}</div>{noise}") == f"{LONG} {LONG}"
+    assert t(f'<article>{two}{noise}</article><article class="comment">{two}{two}</article>') == f"{LONG} {LONG}"
+    kept = f'<article><p>{LONG}</p><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section><h2 id="related-work">Related</h2><p>{LONG}</p></article>'
+    assert t(kept) == f"{LONG} Discussion {LONG} Related {LONG}"
+    assert t(f'<div class="wrap has-sidebar"><h1>T</h1><p>{LONG}</p></div>') == f"T {LONG}"
+    for deep in ("<div>x y z " * 30_000, "<div><b>x</b> " * 30_000 + "</span></q>" * 30_000):
+        import time
+
+        start = time.time()
+        t(deep)
+        assert time.time() - start < 10
+
+
+def unlabelled(i):
+    """A page without article, main or telling names, and its text."""
+    import random
+
+    rng = random.Random(i)
+    sentence = lambda n: " ".join(rng.choice(["river", "stone", "of", "the", "and", "houses", "stand", "quiet", "near", "water"]) for _ in range(n)) + "."
+    parts = [("h1", sentence(5))] + [(rng.choice(["p", "p", "p", "h2", "li"]), sentence(rng.choice([4, 25, 40, 60]))) for _ in range(rng.randint(4, 12))] + [("p", sentence(40))]
+    body = "".join(f"<ul><li>{s}</li></ul>" if tag == "li" else f"<{tag}>{s}</{tag}>" for tag, s in parts)
+    links = lambda n: "".join(f'<li><a href="/{k}">{rng.choice(["Home", "About us", "All our news"])}</a></li>' for k in range(n))
+    top = f'<div><ul>{links(rng.randint(3, 8))}</ul></div>'
+    end = f'<div><ul>{links(rng.randint(3, 8))}</ul><a href="/i">Imprint</a> <a href="/t">Terms</a></div>'
+    if i % 3:  # a sentence among links is none of the text
+        end += f"<div><ul>{links(3)}</ul><p>{sentence(9)}</p><ul>{links(3)}</ul></div>"
+    inner = f"<div><div>{body}</div></div>" if i % 2 else f"<div>{body}</div>"
+    return f"<html><head><title>t</title></head><body>{top}{inner}{end}</body></html>", " ".join(s for _, s in parts)
+
+
+def test_page_text_by_clusters_alone(monkeypatch):
+    """Word precision and recall on pages without names; a constant ratio does worse on most."""
+    import numpy as np
+
+    def score():
+        hit = got = want = same = 0
+        for html, text in map(unlabelled, range(200)):
+            found = html_text.main_text(html)
+            a, b = collections.Counter(found.split()), collections.Counter(text.split())
+            hit, got, want, same = hit + sum((a & b).values()), got + sum(a.values()), want + sum(b.values()), same + (found == text)
+        return hit / got, hit / want, same
+
+    precision, recall, same = score()
+    print("pages: precision", precision, "recall", recall, "equal", same)
+    assert precision > 0.95 and recall > 0.95 and same >= 150, (precision, recall, same)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda ratio, sigma: ratio)
+        assert score()[2] < 0.9 * same
+    monkeypatch.setattr(html_text, "ratios", lambda lines: np.ones(len(lines)))
+    assert score()[2] < same / 2
+
+
+def test_all_test_pages(spark, small):
+    """The pages' articles, taken out by hand, are found whole."""
+    import html as entities
+
+    breaks = re.compile(r"</?(?:p|h1|br|ul|li|div|h2|pre|table|tr|td|blockquote)\b[^>]*>")
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
+        parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?(b|i|em|strong|a|span)\b[^>]*>", "", x))).strip() for x in breaks.split(inner)]
+        assert html_text.main_text(r.html) == " ".join(x for x in parts if x)
+
+
 def test_page_text_table(spark):
     long = "words of an article that go on " * 5000
     rows = [(1, "u", f"<nav>n</nav><article><p>{long}</p></article>", 5), (None, None, None, 6), (1, "u", "<p>x</p>", 5)]
