@@ -74,18 +74,22 @@ def test_embeddings_empty_and_null_ids(spark):
     assert got == sorted([(None, 1, 4, False), (4, 1, 4, True), (None, 0, None, False)], key=repr)
 
 
-def test_finer_cells_give_the_same(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.standard_normal((6, 24))
-    data = [(i, (centres[i % 6] + rng.standard_normal(24) * 0.25).tolist(), 0) for i in range(60)]
-    nodes = spark.createDataFrame([(i, 0, v, 1) for i, v, _ in data], "node long, label int, embedding array<float>, mult long")
-    total = lambda df: sorted(map(tuple, df.groupBy("node").sum("links").where("`sum(links)` > 0").collect()))
-    one = total(embed_dedup.near_pairs(nodes))
-    for axes in (2, 3):
-        import unittest.mock as mock
-
-        with mock.patch.object(embed_dedup, "sum", lambda _: axes - 1, create=True):
-            assert total(embed_dedup.near_pairs(nodes)) == one
+def test_block_distances_are_few():
+    """On vectors without any structure: no more than a tenth of all pairs get a block distance."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64)).astype("<f4")
+    rows = pd.DataFrame({"node": np.arange(3000), "mult": 1, "raw": [v.tobytes() for v in x], "dim": 64, "sub": 0})
+    tests = []
+    embed_dedup._join(rows, 0, 0, 0.93, 8, tests)
+    assert 0 < sum(tests) <= 0.1 * 3000 * 2999 / 2, sum(tests) / (3000 * 2999 / 2)
+
+
+@pytest.mark.parametrize("kind, labels", [("long", [2**40, 2**40 + 2**32, 2**40]), ("string", ["a", "A", "a"]), ("boolean", [True, False, True])])
+def test_labels_of_any_type(spark, kind, labels):
+    table = spark.createDataFrame([(i, [1.0, 2.0], v) for i, v in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+    assert sorted(map(tuple, embed_dedup.embedding_dedup(table).collect())) == [(0, 1, 0, True), (1, 0, 1, True), (2, 1, 0, False)]
 
 
 # ---------------------------------------------------------------- mixing
