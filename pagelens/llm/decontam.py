@@ -4,13 +4,17 @@ The index holds, for the terms that a search needs, each occurrence in the corpu
 position, and as payload the words around it. A search for a benchmark item's windows
 
 1. counts over the whole corpus how often each benchmark term occurs,
-2. picks the two rarest terms of each window (a window with a term that never occurs is out),
-3. reads the postings of these terms, subtracts each term's place in its item, and keeps the
-   alignments (document, item, offset) on which both lists of a window agree,
-4. compares the whole window with the posting's payload: an exact phrase match.
-
-Benchmark terms are broadcast only after their measured size is below `broadcast_bytes`; beyond it
-the same joins are shuffled. Documents are keyed by doc_id and a digest of their text.
+2. looks up each window under its rarest term only (a window with a term that never occurs is out);
+   equal windows are one, whatever items they come from,
+3. subtracts the term's place in the window from the posting's position and probes the payload there
+   for the other words: all of them in order are an exact phrase match,
+4. probes the payload around the posting for a stretch of at most `slop` more words than the window
+   has that holds all its words in any order: a proximity match.
+
+Postings are probed one by one, so a window of common words costs what its rarest term's list is long
+and no task gathers a list. Windows are broadcast only after their measured size is below `limit`;
+beyond it postings and windows are shuffled, frequent terms in `SALTS` parts. Documents are keyed by
+doc_id and a digest of their text.
 
 Defined results: null or word-free documents have no words, no hits and are not contaminated.
 Benchmark rows with null or word-free text, or null item_id, find nothing. Repeated rows count as
@@ -23,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored, words
+from pagelens.llm.common import is_small, stored, without, words
 
-WINDOW, RATIO, BROADCAST = 13, 20, 8 << 20
+WINDOW, RATIO, SLOP, SALTS, BROADCAST = 13, 20, 5, 16, 8 << 20
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -38,10 +42,6 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, column: str, limit: int) -> bool:
-    return (df.agg(F.sum(F.octet_length(column) + 40)).first()[0] or 0) <= limit
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
 
@@ -49,7 +49,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """term, cf: occurrences in the whole corpus of each of `terms` that occurs."""
     every = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    if _small(terms, "term", limit):
+    if is_small(terms, F.octet_length("term") + 40, limit):
         return every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
     return every.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).join(terms, "term")
 
@@ -60,7 +60,7 @@ def positional_index(docs: DataFrame, terms: DataFrame | None = None, around: in
     kept = _keyed(docs)
     first = F.greatest(F.col("pos") - (around - 1), F.lit(0))
     near = F.slice("w", first + 1, F.lit(2 * around - 1))
-    if terms is not None and not _small(terms, "term", limit):
+    if terms is not None and not is_small(terms, F.octet_length("term") + 40, limit):
         hit = kept.select("doc_id", "text_key", F.posexplode("w").alias("pos", "term")).join(terms, "term")
         found = hit.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "term")).alias("hits"))
         kept = kept.dropDuplicates(["doc_id", "text_key"])
@@ -74,91 +74,90 @@ def positional_index(docs: DataFrame, terms: DataFrame | None = None, around: in
 
 
 def windows_of(items: DataFrame, counts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """item_key, item_id, iw, wins: per window its start s, length n and the places p, q of its two
-    rarest terms; windows with a term that the corpus lacks are left out."""
+    """win (words), n, at (place of the rarest term), term, ids (of the items): the distinct windows
+    whose terms all occur in the corpus."""
     place = items.select("item_key", F.posexplode("iw").alias("ipos", "term")).join(counts, "term", "left")
     rare = place.groupBy("item_key").agg(
         F.sort_array(F.collect_list(F.struct("ipos", F.coalesce("cf", F.lit(0)).alias("cf"), "term"))).alias("cfs")
     )
     n = F.least(F.lit(size), F.size("iw"))
-    two = lambda s: F.sort_array(F.transform(F.slice("cfs", s + 1, n), lambda x: F.struct(x["cf"].alias("cf"), x["term"].alias("term"), x["ipos"].alias("ipos"))))
-    wins = F.transform(
-        F.sequence(F.lit(0), F.size("iw") - n),
-        lambda s: F.transform(F.array(two(s)), lambda x: F.struct(
-            s.alias("s"), n.alias("n"), x[0]["cf"].alias("cf"), x[0]["ipos"].alias("p"), x[F.least(F.lit(1), F.size(x) - 1)]["ipos"].alias("q"),
-        ))[0],
-    )
-    return items.join(rare, "item_key").select("item_key", "item_id", "iw", F.filter(wins, lambda x: x["cf"] > 0).alias("wins")).where(F.size("wins") > 0)
-
-
-def phrase_matches(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_id, start, n: every occurrence of every window."""
-    places = wins.select(
-        F.col("item_key").alias("k"),
-        F.explode(F.array_distinct(F.flatten(F.transform("wins", lambda x: F.array(x["p"], x["q"]))))).alias("ipos"),
-        "iw",
-    ).select("k", "ipos", F.col("iw")[F.col("ipos")].alias("term"))
-    lines = (
-        index.join(places, "term")
-        .groupBy("doc_id", "text_key", "k", (F.col("pos") - F.col("ipos")).alias("offset"))
-        .agg(F.collect_list(F.struct("ipos", "first", "near")).alias("lists"))
-    )
-    at = F.transform("lists", lambda y: y["ipos"])
-    agreed = F.filter("wins", lambda x: F.array_contains(at, x["p"]) & F.array_contains(at, x["q"]) & (F.col("offset") + x["s"] >= 0))
-    same = lambda x: F.exists("lists", lambda y: (y["ipos"] == x["p"]) & (F.slice(y["near"], F.greatest(F.lit(1), F.col("offset") + x["s"] - y["first"] + 1), x["n"]) == F.slice("iw", x["s"] + 1, x["n"])))
-    return (
-        lines.join(wins, F.col("k") == F.col("item_key"))
-        .select("doc_id", "text_key", "item_id", "offset", F.explode(F.filter(agreed, same)).alias("win"))
-        .select("doc_id", "text_key", "item_id", (F.col("offset") + F.col("win.s")).alias("start"), F.col("win.n").alias("n"))
-    )
-
-
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """doc_id, text_key, item_id, start, end: for each item and document the first and shortest
-    stretch of at most (distinct words + slop) words that holds all words of the item in any order."""
-    terms = items.select("item_key", "item_id", F.array_distinct("iw").alias("need"))
-    each = terms.select("item_key", "item_id", F.size("need").alias("m"), F.explode("need").alias("term"))
-    met = index.join(each, "term").groupBy("doc_id", "text_key", "item_key", "item_id", "m").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("seen"), F.countDistinct("term").alias("have")
-    )
-    reach = lambda a: F.filter("seen", lambda y: (y["pos"] >= a) & (y["pos"] < a + F.col("m") + slop))
-    firsts = lambda a: F.size(F.array_distinct(F.transform(reach(a), lambda y: y["term"])))
-    ends = lambda a: F.array_min(F.transform(F.filter(reach(a), lambda y: F.size(F.array_distinct(F.transform(F.filter(reach(a), lambda z: z["pos"] <= y["pos"]), lambda z: z["term"]))) == F.col("m")), lambda y: y["pos"]))
-    spans = F.transform(F.filter("seen", lambda x: firsts(x["pos"]) == F.col("m")), lambda x: F.struct((ends(x["pos"]) - x["pos"]).alias("width"), x["pos"].alias("start")))
-    return met.where("have = m").select("doc_id", "text_key", "item_id", F.array_min(spans).alias("best")).where("best is not null").select(
-        "doc_id", "text_key", "item_id", F.col("best.start").alias("start"), (F.col("best.start") + F.col("best.width") + 1).alias("end")
-    )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ratio: int = RATIO, limit: int = BROADCAST) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    least = lambda s: F.array_min(F.transform(F.slice("cfs", s + 1, n), lambda x: F.struct(x["cf"].alias("cf"), x["term"].alias("term"), (x["ipos"] - s).alias("at"))))
+    wins = F.transform(F.sequence(F.lit(0), F.size("iw") - n), lambda s: F.struct(F.slice("iw", s + 1, n).alias("win"), n.alias("n"), least(s).alias("rare")))
+    wins = items.join(rare, "item_key").select("item_id", F.inline(wins)).where("rare.cf > 0")
+    ids = F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")
+    return wins.groupBy("win").agg(F.first("n").alias("n"), F.min("rare").alias("rare"), ids).select("win", "n", F.col("rare.at").alias("at"), F.col("rare.term").alias("term"), "ids")
+
+
+def _probed(index: DataFrame, wins: DataFrame, limit: int) -> DataFrame:
+    """Each posting with the windows looked up under its term."""
+    size = F.size("win") * 24 + F.octet_length(F.array_join("win", "")) + F.octet_length(F.array_join("ids", ",")) + 60
+    if is_small(wins, size, limit):
+        return index.join(F.broadcast(wins), "term")
+    salted = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.lit(SALTS)))
+    copies = wins.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["term", "salt"]).drop("salt")
+
+
+def matches(index: DataFrame, wins: DataFrame, slop: int = SLOP, limit: int = BROADCAST) -> DataFrame:
+    """doc_id, text_key, ids, n, start, near: the exact matches of windows (start is null for others)
+    and their proximity matches around postings (near: start and end of the shortest stretch, the first
+    if there are several). The index's payload must reach n + slop - 1 words to either side."""
+    start, distinct = F.col("pos") - F.col("at"), F.array_distinct("win")
+    exact = (start >= 0) & (F.slice("near", F.greatest(F.lit(1), start - F.col("first") + 1), F.col("n")) == F.col("win"))
+    reach = F.col("n") + slop
+    low = F.greatest(F.lit(0), F.col("pos") - reach + 1) - F.col("first")
+    ends = lambda o: F.array_max(F.transform(distinct, lambda w: F.coalesce(F.nullif(F.array_position(F.slice("near", o + 1, reach), w), F.lit(0)), F.lit(1 << 30))))
+    stretches = F.transform(F.sequence(low, F.col("pos") - F.col("first")), lambda o: F.struct(ends(o).alias("width"), (o + F.col("first")).alias("start")))
+    best = F.when(F.size(F.array_except("win", "near")) == 0, F.array_min(F.filter(stretches, lambda x: (x["width"] <= reach) & (x["start"] + x["width"] > F.col("pos")))))
+    found = _probed(index, wins, limit).select("doc_id", "text_key", "ids", "n", F.when(exact, start).alias("start"), best.alias("best"))
+    near = F.when(F.col("best").isNotNull(), F.struct(F.col("best.start").alias("start"), (F.col("best.start") + F.col("best.width")).cast("int").alias("end")))
+    return found.where("start is not null or best is not null").select("doc_id", "text_key", "ids", "n", "start", near.alias("near"))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, limit: int = BROADCAST) -> DataFrame:
+    """matches() of the benchmark's windows in docs."""
     items = stored(items_of(benchmark), "items")
     terms = items.select(F.explode("iw").alias("term")).distinct()
     wins = stored(windows_of(items, term_counts(docs, terms, limit), size), "windows")
-    rare = wins.select(F.explode(F.flatten(F.transform("wins", lambda x: F.array(F.col("iw")[x["p"]], F.col("iw")[x["q"]])))).alias("term")).distinct()
-    index = stored(positional_index(docs, rare, size, limit), "postings")
-    hits = phrase_matches(index, wins).groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("start", "n")).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")
-    )
+    index = stored(positional_index(docs, wins.select("term").distinct(), size + slop, limit), "postings")
+    return matches(index, wins, slop, limit)
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ratio: int = RATIO, slop: int = SLOP, limit: int = BROADCAST) -> DataFrame:
+    """contamination()'s columns and text_key."""
+    ids = F.explode(F.when(F.col("start").isNull(), F.array().cast("array<string>")).otherwise(F.col("ids")))
+    found = stored(search(docs, benchmark, size, slop, limit), "matches")
+    by = ["doc_id", "text_key"]
+    spans = found.where("start is not null").groupBy(*by).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
-    hits = stored(hits.select("doc_id", "text_key", covered.cast("long").alias("hit"), "items"), "hits")
+    listed = lambda df, name: df.groupBy(*by).agg(F.sort_array(F.collect_set("id")).alias(name))
+    items = listed(found.select(*by, ids.alias("id")), "items")
+    near = listed(found.where("near is not null").select(*by, F.explode("ids").alias("id")), "close")
+    keyed = lambda df: df.withColumn("doc_key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key")).drop(*by)
+    hits = keyed(near).join(keyed(items), "doc_key", "left").join(keyed(spans.select(*by, covered.cast("long").alias("hit"))), "doc_key", "left")
+    hits = stored(hits, "hits")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"), _NO_CASE, lower=False)).cast("long").alias("n_words"))
-    on = rows["doc_id"].eqNullSafe(hits["doc_id"]) & rows["text_key"].eqNullSafe(hits["text_key"])
-    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    none = F.array().cast("array<string>")
-    return rows.join(hits, on, "left").select(
-        rows["doc_id"], "n_words", n_hit.alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+    rows = rows.withColumn("doc_key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key"))
+    n_hit, none = F.coalesce("hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
+    count = lambda c: F.size(F.coalesce(c, none)).cast("long")
+    return rows.join(hits, "doc_key", "left").select(
+        "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), count("items").alias("n_items"),
         F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
         ((n_hit > 0) & (ratio * n_hit >= F.col("n_words"))).alias("contaminated"),
+        count("close").alias("n_near"), F.concat_ws(",", F.coalesce("close", none)).alias("near_items"),
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity
+    match, exact ones among them), near_items (their ids) for every row of docs."""
+    return judged(docs, benchmark, **options).drop("text_key")
+
+
 #: NOT_WORD for texts in their own case: lower-casing A-Z moves no word boundary.
 _NO_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated; all columns as they were. Rows of one doc_id
-    are dropped together if one of them is contaminated; null doc_ids are kept."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are not contaminated; all columns as they were."""
+    return without(docs, judged(docs, benchmark, **options).where("contaminated"))

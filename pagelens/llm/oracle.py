@@ -6,6 +6,8 @@ models or follow procedures; tests hold these against brute force and held-out r
 
 from __future__ import annotations
 
+from pagelens.llm.decontam import SLOP
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -33,10 +35,15 @@ win as (select distinct item_id, n, w[s : s + n - 1] as k from (select item_id,
 pts as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
 hit as (select pts.r, pts.p, win.n, win.item_id from pts join win on pts.word = win.k[1] join d on d.r = pts.r where d.w[pts.p : pts.p + win.n - 1] = win.k),
 cov as (select r, count(distinct q) as n from (select r, unnest(range(p, p + n)) as q from hit) group by r),
-its as (select r, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct r, item_id::varchar as id from hit) group by r)
+its as (select r, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct r, item_id::varchar as id from hit) group by r),
+cf as (select word, count(*) as c from pts group by word),
+rare as (select item_id, n, k, arg_min(t, struct_pack(c := coalesce(c, 0), t := t)) as word, min(coalesce(c, 0)) as least from (select item_id, n, k, unnest(k) as t from win) left join cf on word = t group by item_id, n, k),
+close as (select distinct r, item_id::varchar as id from (select pts.r, rare.item_id, rare.k, rare.n + {SLOP} as reach, d.w, unnest(range(greatest(1, pts.p - rare.n - {SLOP} + 1), pts.p + 1)) as o
+  from rare join pts on pts.word = rare.word join d on d.r = pts.r where least > 0 and list_has_all(d.w[greatest(1, pts.p - rare.n - {SLOP} + 1) : pts.p + rare.n + {SLOP} - 1], rare.k)) where list_has_all(w[o : o + reach - 1], k)),
+nr as (select r, count(*) as n, string_agg(id, ',' order by id) as ids from close group by r)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(cov.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items, sha256(coalesce(its.ids, '')) as items_sha256,
-  coalesce(cov.n, 0) > 0 and 20 * coalesce(cov.n, 0) >= len(d.w) as contaminated
-from d left join cov using (r) left join its using (r)
+  coalesce(cov.n, 0) > 0 and 20 * coalesce(cov.n, 0) >= len(d.w) as contaminated, coalesce(nr.n, 0)::bigint as n_near, coalesce(nr.ids, '') as near_items
+from d left join cov using (r) left join its using (r) left join nr using (r)
 """
 
 OP6 = """

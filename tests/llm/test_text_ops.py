@@ -166,9 +166,9 @@ def test_contamination_equals_brute_force(spark, limit):
     expected = brute_contamination(texts, items)
     assert len(got) == len(texts) + 1
     for r in got:
-        assert tuple(r)[1:] == expected[r.doc_id], (r.doc_id, texts[r.doc_id])
+        assert tuple(r)[1:6] == expected[r.doc_id], (r.doc_id, texts[r.doc_id])
     bad = {i for i, e in enumerate(expected) if e[4]}
-    assert {r.doc_id for r in decontam.keep_clean(table, bench).collect()} == set(range(len(texts))) - bad
+    assert {r.doc_id for r in decontam.keep_clean(table, bench, limit=limit).collect()} == set(range(len(texts))) - bad
 
 
 def test_contamination_of_empty_tables(spark):
@@ -177,13 +177,50 @@ def test_contamination_of_empty_tables(spark):
     assert decontam.contamination(docs(spark, []), bench).count() == 0
 
 
-def test_whole_index_and_proximity(spark):
+def brute_near(text, items, slop=decontam.SLOP):
+    """ids of items with a window all of whose words stand within n + slop words, in any order."""
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(up))
+    w, found = split(text), set()
+    for i, x in items:
+        v = split(x)
+        n = min(13, len(v))
+        for s in range(len(v) - n + 1 if n and i is not None else 0):
+            need = set(v[s : s + n])
+            if any(need <= set(w[o : o + n + slop]) for o in range(len(w))):
+                found.add(str(i))
+    return ",".join(sorted(found))
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_proximity_equals_brute_force(spark, limit):
+    import random
+
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.choice([2, 3, 6, 14, 20])))) for i in range(12)] + [(99, words(15)), (98, "the the the"), (97, "")]
+    texts = [" ".join(rng.choice("a b c d e f g h i j k l m n o p q r".split()) for _ in range(rng.choice([1, 5, 30, 200]))) for _ in range(30)]
+    texts += [" ".join(f"w{i}" for i in rng.sample(range(15), 15)), "w0 x y z " + words(15), "the", None]
+    got = decontam.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), limit=limit).collect()
+    for r in got:
+        assert r.near_items == brute_near(texts[r.doc_id], items) and r.n_near == len([x for x in r.near_items.split(",") if x]), (r.doc_id, texts[r.doc_id])
+        assert tuple(r)[1:6] == brute_contamination([texts[r.doc_id]], items)[0]
+
+
+def test_matches_of_the_whole_index(spark):
     table = docs(spark, ["red big fox and dog", "dog then a red fox far away from the big one", None])
-    index = decontam.positional_index(table)
+    index = decontam.positional_index(table, None, 30)
     assert index.count() == 16
     items = decontam.items_of(spark.createDataFrame([(1, "fox big red")], "item_id long, text string"))
-    near = lambda slop: sorted((r.doc_id, r.start, r.end) for r in decontam.proximity_matches(index, items, slop).collect())
-    assert near(0) == [(0, 0, 3)] and near(10) == [(0, 0, 3), (1, 3, 10)]
+    wins = decontam.windows_of(items, decontam.term_counts(table, items.select(F.explode("iw").alias("term")).distinct()))
+    near = lambda slop: sorted((r.doc_id, r.near.start, r.near.end, r.start) for r in decontam.matches(index, wins, slop).collect())
+    assert near(0) == [(0, 0, 3, None)] and near(10) == [(0, 0, 3, None), (1, 3, 10, None)]
+
+
+def test_very_long_document_and_common_words(spark):
+    """One item of the commonest words, a text of 300 000 words."""
+    text = "the of and " * 100_000 + words(13)
+    got = decontam.contamination(docs(spark, [text, "of the and"]), spark.createDataFrame([(1, "the of and the"), (2, words(13))], "item_id long, text string")).orderBy("doc_id").collect()
+    assert (got[0].n_hit, got[0].n_items, got[0].contaminated, got[1].n_hit, got[1].near_items) == (300_011, 2, True, 0, "1")  # the last two common words follow no window
 
 
 # ---------------------------------------------------------------- PII
