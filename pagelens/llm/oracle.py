@@ -66,12 +66,14 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, reach.least as componen
 """
 
 
-def _apportion(name: str, claims: str, group: str, claim: str, order: str) -> str:
+def _apportion(name: str, claims: str, group: str, claim: str, order: str, room: str = "") -> str:
     """Tables {name}_c, {name}_r and {name} (claims with quota) for seats dealt by highest claim / (2 k + 1)."""
     part = f"partition by {group}" if group else ""
     key = f"{group}, {order}" if group else order
+    held = (lambda x: f"least({x}, {room})") if room else (lambda x: x)
+    spread = "2.5" if room else "0.5"
     return f"""{name}_c as (select *, case when sum({claim}) over ({part}) > 0 then {claim} / sum({claim}) over ({part}) else 0 end as part, count(*) over ({part}) as m from {claims}),
-{name}_s as (select *, greatest(0, floor(part * seats - part * m / 2 - 1))::bigint as sure, (case when {claim} > 0 then ceil(part * seats + part * m / 2 + 1) else 0 end)::bigint as most from {name}_c),
+{name}_s as (select *, {held(f"greatest(0, floor(part * seats - part * m / 2 - 1))")}::bigint as sure, {held(f"(case when {claim} > 0 then ceil(part * seats + part * m * {spread} + 1) else 0 end)")}::bigint as most from {name}_c),
 {name}_l as (select *, seats - sum(sure) over ({part}) as spare from {name}_s),
 {name}_r as (select {key}, count(*) as got from (select {key}, spare, row_number() over ({part} order by {claim} / (2 * k + 1) desc, {order}, k) as n
   from (select {key}, {claim}, spare, unnest(range(sure, most)) as k from {name}_l)) where n <= spare group by {key}),
@@ -79,7 +81,7 @@ def _apportion(name: str, claims: str, group: str, claim: str, order: str) -> st
 
 
 OP7 = rf"""
-with sizes as (select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, '')) as dug from documents),
+with sizes as (select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5('mix-1:' || doc_id::varchar) as dug from documents),
 src as (select source, sum(size)::bigint as source_size, count(*) as docs, row_number() over (order by source asc nulls last) as pos from sizes group by source),
 wts as (select *, 1 + (pos - 1) % 3 as weight, 3 * source_size as most, sum(source_size) over () as total from src),
 fill as (select *, total - coalesce(sum(most) over (order by most / weight, pos rows between unbounded preceding and 1 preceding), 0) as rest,
@@ -88,10 +90,13 @@ judged as (select *, most::double * heavy <= rest::double * weight as "full" fro
 tgt as (select j.*, case when "full" then most::double else l.rest::double * weight / l.heavy end as target from judged j left join (select rest, heavy from judged where not "full" order by most / weight, pos limit 1) l on true),
 seated as (select *, floor(sum(target) over () / 32 + 0.5)::bigint as seats from tgt),
 {_apportion("level", "seated", "", "target", "pos")},
-shard_rows as (select z.*, v.pos, v.source_size, v.target, v.quota as blocks, ('0x' || substr(z.dug, 1, 8))::bigint % ceil(v.docs / 512.0)::bigint as shard from sizes z join level v on z.source is not distinct from v.source),
-shards as (select pos, shard, sum(size)::double as words, max(blocks) as seats from shard_rows group by pos, shard),
-{_apportion("dealt", "shards", "pos", "words", "shard")},
-taken as (select pos, shard, words::bigint as words, least(quota * 32, 3 * words)::bigint as want,
+shard_rows as (select z.*, v.pos, v."full", v.source_size, v.target, v.quota as blocks, ('0x' || substr(z.dug, 1, 8))::bigint % ceil(v.docs / 512.0)::bigint as shard, ceil(ceil(v.docs / 512.0) / 4096)::bigint as grps from sizes z join level v on z.source is not distinct from v.source),
+parts as (select pos, shard % grps as grp, shard, sum(size)::double as words, any_value("full") as "full", any_value(blocks) as blocks, floor(3 * sum(size) / 32)::bigint as room from shard_rows group by all),
+grouped as (select pos, grp, sum(words)::double as words, sum(room)::bigint as room, any_value(blocks) as seats from parts group by pos, grp),
+{_apportion("lot", "grouped", "pos", "words", "grp", "room")},
+shards as (select p.*, l.quota as seats from parts p join lot l using (pos, grp)),
+{_apportion("dealt", "shards", "pos, grp", "words", "shard", "room")},
+taken as (select pos, shard, words::bigint as words, (case when "full" then 3 * words else quota * 32 end)::bigint as want,
   (('0x' || substr(md5('mix-1:' || pos || ':' || shard), 1, 8))::bigint % greatest(1, ceil(words / 32)::bigint) * 32)::bigint as start from dealt where words > 0),
 runs as (select s.*, sum(size) over (partition by pos, shard order by dug, doc_id, size rows between unbounded preceding and current row)::bigint as stop from shard_rows s),
 cut as (select u.*, t.words, t.start, t.want // t.words as passes, t.start + t.want % t.words as until from runs u left join taken t using (pos, shard))

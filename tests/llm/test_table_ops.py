@@ -131,10 +131,38 @@ def test_mix(spark):
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     again = mixing.mix(table.repartition(7)).collect()
     assert sorted(got, key=key) == sorted(again, key=key)
-    assert mixing.mix(table.limit(0)).count() == 0
+    assert mixing.mix(table.limit(0)).count() == 0 and mixing.mixed(table.limit(0)).count() == 0
+    small_groups = mixing.mix(table, shard_docs=16, group=4).collect()
+    for s in {*source.values()}:
+        mine = [r for r in small_groups if source[r.doc_id] == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 64 and all(0 <= r.taken <= 3 * r.size for r in mine)
+    full = {s for s in {*source.values()} for r in got if source[r.doc_id] == s and r.target == 3 * r.source_size}
+    assert full and all(r.taken == 3 * r.size for r in got if source[r.doc_id] in full)
     assert all(r.taken == 0 and r.target == 0 for r in mixing.mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect())
 
 
+def test_apportionment_with_rooms(spark):
+    claims = [(0, 40.0, 10, 3), (1, 30.0, 10, 9), (2, 20.0, 10, 9), (3, 10.0, 10, 9)]
+    table = spark.createDataFrame(claims, "pos long, claim double, seats long, room long")
+    got = [r.quota for r in mixing.apportion(table, [], "claim", "seats", ["pos"], "room").orderBy("pos").collect()]
+    assert got[0] == 3 and sum(got) == 10 and got == [3, 4, 2, 1]
+
+
+def test_mixture_holds_the_words_taken(spark):
+    rows_ = [(i, " ".join(f"w{i}x{k}" for k in range(10 + i % 90)), f"s{i % 4}", 1, 2) for i in range(400)] + [(900, None, "s0", 1, 2), (901, "only one", "z", 1, 2), (5, "other text", "s1", 1, 2)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string, source string, size long, Taken long")
+    want = {(r.doc_id, r.size): r.taken for r in mixing.mix(table).collect()}
+    out = mixing.mixed(table)
+    assert out.columns == [*table.columns, "size_", "source_size", "target", "taken_", "passes"]
+    got = out.collect()
+    texts = {(r[0], r[1]) for r in rows_}
+    assert {(r.doc_id, r.size_) for r in got} == {k for k, v in want.items() if v}
+    for r in got:
+        assert len(r.text.split()) == r.taken_ == want[r.doc_id, r.size_] and r.size == 1
+        whole = next(t for i, t in texts if i == r.doc_id and len(t.split()) == r.size_)
+        assert set(r.text.split()) <= set(whole.split()) and (not r.passes or whole in r.text)
+
+
 # ---------------------------------------------------------------- chat
 
 
