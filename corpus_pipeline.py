@@ -1,6 +1,8 @@
 """Corpus preparation: language, near duplicates, benchmark passages, personal data, mixture.
 
-Each stage takes the documents that its predecessor kept, written as Parquet and read again.
+Each stage takes the documents that its predecessor kept, written as Parquet and read again. Stages
+that drop rows send only the lost ids to the texts where these are few, and don't shuffle the texts.
+The result holds the mixture itself: each document that it takes words of, with these words as text.
 """
 
 from __future__ import annotations
@@ -8,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagelens.llm import decontam, lang_id, mixing, ngram_join, pii
 from pagelens.llm.common import stored
@@ -35,8 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the words that the mixture takes of each; those it takes nothing of go."""
-    return mixing.mix(docs).where(F.col("taken") > 0)
+    """The documents with the words that the mixture takes of each as text; those it takes nothing of go."""
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
