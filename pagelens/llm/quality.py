@@ -1,11 +1,12 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 The grades are 0 (poor), 1 (good, but toxic) and 2 (good). A text is a set of hashed words and word
-pairs; only those in MIN_DOCS training documents whose rate in some grade departs from the rest by
-MIN_Z standard errors get a weight, so that chance words can't stand for single documents. One weight vector is shared by all
-grades; ordered thresholds t1 < t2 cut its line: P(grade >= k) = sigmoid(w x - t_k). Weights and
+pairs, and one of LENGTHS classes of length; of the words only those get a weight that mark a grade
+below the top: in MIN_DOCS training documents at least, MIN_Z standard errors and MIN_LIFT times more
+often in the grade than in the others. So chance words can't stand for single documents, and the
+ordinary words of long texts don't outweigh a mark. One weight vector is shared by all grades; ordered thresholds t1 < t2 cut its line: P(grade >= k) = sigmoid(w x - t_k). Weights and
 thresholds are fitted together on the likelihood of a bounded sample of rated documents (for each
-grade the `per_grade` ones with the least hash of doc_id, the grades weighted alike), the thresholds
+grade the `per_grade` ones with the least hash of doc_id, the grades weighted alike; the tasks make their features), the thresholds
 as a first one and the logarithms of the steps, which keeps them in order. From the fit come the
 expected grade, sum of P(grade >= k), and the tail P(grade >= 2), by which documents are selected.
 
@@ -24,9 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, id_slice, whole_id, word_hashes
+from pagelens.llm.common import chunks, id_slice, least_rows, whole_id, word_hashes
 
-BITS, PER_GRADE, TAIL, MIN_DOCS, MIN_Z = 18, 1000, 0.4, 8, 6.0
+BITS, PER_GRADE, TAIL, MIN_DOCS, MIN_Z, MIN_LIFT, LENGTHS = 18, 1000, 0.5, 6, 3.0, 6.0, 32
 GRADES = 3
 
 
@@ -37,8 +38,11 @@ def grades(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and column of each text's distinct words, bare and as written, and pairs of bare neighbours."""
+def features(texts: list[bytes], bits: int = BITS, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and column of each text's distinct words, bare and as written, and pairs of bare
+    neighbours (of those columns that are known only, if given), and of its class of length, which has
+    one of the last LENGTHS columns."""
+    size = 1 << bits
     hashes, counts = word_hashes(texts, bare=True)
     doc = np.repeat(np.arange(len(texts)), counts)
     pair = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
@@ -46,24 +50,29 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     written, n = word_hashes(texts)  # with punctuation, apart from the bare words
     key = np.concatenate((hashes, pair[same], written ^ np.uint64(0x5BD1E9955BD1E995))) >> np.uint64(64 - bits)
     row = np.concatenate((doc, doc[:-1][same], np.repeat(np.arange(len(texts)), n)))
-    cell = np.unique(row.astype(np.int64) << bits | key.astype(np.int64))
-    return cell >> bits, cell & ((1 << bits) - 1)
+    key = key.astype(np.int64) % (size - LENGTHS)
+    if known is not None:
+        row, key = row[known[key]], key[known[key]]
+    length = size - 1 - np.minimum(2 * np.log2(1 + n), LENGTHS - 1).astype(np.int64)
+    cell = np.concatenate((np.unique(row.astype(np.int64) << bits | key), np.arange(len(texts), dtype=np.int64) << bits | length))
+    return cell >> bits, cell & (size - 1)
 
 
 def telling(row: np.ndarray, col: np.ndarray, grade: np.ndarray, bits: int) -> np.ndarray:
-    """Columns that tell a grade from the others; all that are frequent enough if none does."""
+    """Columns that mark a grade below the top, and those of the lengths."""
     size = 1 << bits
     seen = np.bincount(col, minlength=size)
-    often = seen >= min(MIN_DOCS, max(1, len(grade) // 20))
-    best = np.zeros(size)
-    for g in np.unique(grade):
+    marks = np.zeros(size, bool)
+    for g in np.unique(grade)[:-1]:
         inside = grade == g
         a, n, m = np.bincount(col[inside[row]], minlength=size), inside.sum(), (~inside).sum()
         rate = seen / (n + m)
         error = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n + 1 / max(m, 1)))
-        best = np.maximum(best, np.abs(a / n - (seen - a) / max(m, 1)) / error)
-    chosen = np.flatnonzero(often & (best >= MIN_Z))
-    return chosen if len(chosen) else np.flatnonzero(often)
+        here, there = a / n, (seen - a) / max(m, 1)
+        marks |= (here - there >= MIN_Z * error) & (here >= MIN_LIFT * (there + 0.5 / max(m, 1)))
+    marks &= seen >= min(MIN_DOCS, max(1, len(grade) // 20))
+    marks[size - LENGTHS :] = True
+    return np.flatnonzero(marks)
 
 
 class Ordinal:
@@ -103,7 +112,7 @@ class Ordinal:
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             p += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - t / (steps + 1))
         w = np.zeros(1 << bits, np.float32)
-        w[known] = p[:dim]
+        w[known] = p[:dim]  # steps of Adam leave none of them at 0
         return Ordinal(w, np.concatenate((p[dim : dim + 1], p[dim] + np.cumsum(np.exp(p[dim + 1 :])))))
 
     def tails(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
@@ -113,36 +122,33 @@ class Ordinal:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, bits: int = BITS) -> Ordinal | None:
-    rated = grades(labels)
-    hashed = rated.withColumn("h", F.xxhash64("doc_id"))
-    picked = None
-    for g in range(GRADES):
-        one = hashed.where(F.col("grade") == g).orderBy("h", "doc_id").limit(per_grade)
-        picked = one if picked is None else picked.unionByName(one)
-    ids = {r["doc_id"]: r["grade"] for r in picked.collect()}  # at most GRADES * per_grade
-    if len(set(ids.values())) < 2:
-        return None
-    chosen = docs.where(F.col("doc_id").isin(*ids)).select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    grade = np.array([ids[r["doc_id"]] for r in chosen], int)
+    picked = least_rows(grades(labels), "grade", per_grade)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, texts in chunks(pdf["text"].tolist()):
+                row, col = features(texts, bits)
+                cols = [c.astype("<u4").tobytes() for c in np.split(col[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=b - a))[:-1])]
+                yield pdf.iloc[a:b][["doc_id", "grade"]].assign(cols=cols)
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(run, "doc_id long, grade int, cols binary")
+    got = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("cols").alias("cols")).orderBy("doc_id").collect()
+    grade = np.array([r["grade"] for r in got], int)
     if len(set(grade.tolist())) < 2:
         return None
-    rows, cols, at = [], [], 0
-    for _, _, texts in chunks([r["text"] for r in chosen], 256 << 10):  # few at a time: the driver is small
-        row, col = features(texts, bits)
-        rows.append((row + at).astype(np.int32))
-        cols.append(col.astype(np.int32))
-        at += len(texts)
-    return Ordinal.fit(np.concatenate(rows), np.concatenate(cols), grade, bits)
+    cols = [np.frombuffer(r["cols"], "<u4").astype(np.int32) for r in got]
+    return Ordinal.fit(np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols), grade, bits)
 
 
 def classify(docs: DataFrame, labels: DataFrame, tail: float = TAIL, bits: int = BITS, model: Ordinal | None = None) -> DataFrame:
     """doc_id, expected_grade, tail, selected for every row of docs."""
     model = model or train(docs, labels, bits=bits)
+    known = None if model is None else model.w != 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a, b, texts in chunks(pdf["text"].tolist()):
-                t = np.zeros((b - a, GRADES - 1)) if model is None else model.tails(*features(texts, bits), b - a)
+                t = np.zeros((b - a, GRADES - 1)) if model is None else model.tails(*features(texts, bits, known), b - a)
                 yield pd.DataFrame({
                     "doc_id": id_slice(pdf, "doc_id", a, b), "expected_grade": t.sum(1), "tail": t[:, -1], "selected": t[:, -1] >= tail,
                 })

@@ -185,6 +185,29 @@ def test_link_calls(spark):
     assert sorted(answered.select("call_id", "linked").collect(), key=repr) == sorted([("1", True), ("1", True), ("9", False), (None, False)], key=repr)
 
 
+def test_canonical_json_form():
+    numbers = {"1.0": "1", "1e2": "100", "-0.0": "0", "1e21": "1e+21", "1.5e-7": "1.5e-7", "0.00001": "0.00001", "1e-5": "0.00001", "123456789012345678901234567890": "123456789012345678901234567890", "0.1": "0.1", "2.5E300": "2.5e+300"}
+    assert {k: chat.canonical_json(json.loads(k)) for k in numbers} == numbers
+    assert chat.canonical_json(json.loads('{"b":"\\u001f\\ud800é/","a":[true,null,"\\ud83d\\ude00"]}')) == '{"a":[true,null,"😀"],"b":"\\u001f\\ud800é/"}'
+
+
+def test_hard_arguments(spark):
+    deep = "[" * 100_000
+    calls = [("1", None, "find", '{"a":"\\ud800"}'), ("2", None, "find", '{"a":NaN}'), ("3", None, "find", '{"a":1e999}'), ("4", None, "find", deep), ("5", None, "find", '{"a":1.0}')]
+    schema = {"type": "object", "properties": {"a": {"type": "string"}}}
+    linked, _ = chat.link_calls(spark.createDataFrame(calls, "call_id string, after string, name string, arguments string"), spark.createDataFrame([], "call_id string"), {"find": schema}, [])
+    got = {r.call_id: (r.valid, r.json) for r in linked.collect()}
+    assert got["1"] == (True, '{"arguments":{"a":"\\ud800"},"name":"find"}') and got["5"] == (False, '{"arguments":{"a":1},"name":"find"}')
+    assert [got[i] for i in "234"] == [(False, None)] * 3
+
+
+def test_messages_come_in_topological_order(spark):
+    turns = [(c, t, "user" if t % 2 else "assistant", f"m{t}\x1f") for c in range(3) for t in range(1, 801)]
+    got = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    assert [(r.conv_id, r.turn) for r in got] == [(c, t) for c in range(3) for t in range(1, 801)] and got[-2].level == 399
+    assert got[1].json == '{"role":"assistant","text":"m2\\u001f","turn":2}'
+
+
 def test_conversations(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "a\n\"é\""), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 5, "user", ""), (None, 0, "user", None), (2, None, "assistant", "x"), (3, 0, None, "y"), (1, 2, "assistant", "b")]
     table = spark.createDataFrame([(*t, 1, "k") for t in turns], "conv_id long, turn long, role string, text string, level long, kind string")
