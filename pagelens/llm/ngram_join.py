@@ -13,7 +13,7 @@ least 0.75. With T(x) = ceil(0.75 |x|), a partner of x shares at least T(x) shin
 4. Only lists with sets of several parts remain. Within the parts that they join, every set outside
    the largest part is searched by T-occurrence: its short lists are merged, the ids found are probed
    in its long lists by binary search, and those with the required overlap are links. Targets are
-   dealt in blocks of `block_bytes`, so no group has to fit a task.
+   dealt in blocks of `block_sets` sets and `block_bytes` at most, so no group has to fit a task.
 5. Links give components. Equal sets are one node throughout, so copies never meet pairwise.
 
 Defined results: null or word-free text has an empty set and links with nothing; its component is
@@ -271,7 +271,7 @@ def tested(pairs: DataFrame, cands: DataFrame) -> DataFrame:
     return left.join(right.drop("copies"), ["b", "salt"]).select("a", "b", "size_a", "size_b", "members_a", "members_b").mapInPandas(run, "a long, b long")
 
 
-def links(cands: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
+def links(cands: DataFrame, block_bytes: int = 24 << 20, block_sets: int = 1024) -> DataFrame:
     """(a, b) node pairs with Jaccard >= 0.75 that connect all such pairs. Stages 3 and 4."""
     spark = cands.sparkSession
     short = stored(cands.select("node", "size", "most", F.explode("prefix").alias("shingle")), "short")
@@ -290,18 +290,19 @@ def links(cands: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     groups = stored(components(open_.select("root", "low").distinct(), "root", "low").withColumnRenamed("root", "grp"), "groups")
     nodes = open_.select("node", F.col("root").alias("part")).distinct()
     held = stored(nodes.join(groups, F.col("part") == groups["node"]).select(nodes["node"], "part", "grp"), "held")
-    return sure.unionByName(_searched(held, cands, block_bytes, 4 * partitions(spark)))
+    return sure.unionByName(_searched(held, cands, block_bytes, block_sets, 4 * partitions(spark)))
 
 
-def _searched(held: DataFrame, cands: DataFrame, block_bytes: int, tasks: int) -> DataFrame:
+def _searched(held: DataFrame, cands: DataFrame, block_bytes: int, block_sets: int, tasks: int) -> DataFrame:
     """Links between different parts of each group: all sets outside the group's largest part are
     queries against all its sets, these in blocks."""
     sets = stored(held.join(cands.select("node", "size", "most", "members"), "node"), "sets")
     weight = lambda: F.sum(F.length("members") + 64)
     by_part = sets.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("sets"), weight().alias("bytes"))
-    group = by_part.groupBy("grp").agg(F.sum("sets").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("main"))
-    blocks = lambda b: F.greatest(F.lit(1), F.ceil(b / block_bytes)).cast("int")
-    group = group.select("grp", "n", blocks(F.col("bytes")).alias("t"), blocks(F.col("bytes") - F.col("main.bytes")).alias("q"), F.col("main.part").alias("main"))
+    group = by_part.groupBy("grp").agg(F.sum("sets").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "sets", "part")).alias("main"))
+    blocks = lambda n, b: F.greatest(F.lit(1), F.ceil(b / block_bytes), F.ceil(n / block_sets)).cast("int")
+    asking = blocks(F.col("n") - F.col("main.sets"), F.col("bytes") - F.col("main.bytes"))
+    group = group.select("grp", "n", blocks(F.col("n"), F.col("bytes")).alias("t"), asking.alias("q"), F.col("main.part").alias("main"))
     dealt = pulled(sets, group, "grp", sets.count(), F.xxhash64("node"))
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
