@@ -28,7 +28,8 @@ def h1_check() -> Column:
 
 
 def repeats_site_name(title: Column, site_name: str) -> Column:
-    tokens = F.filter(F.split(F.lower(title), NOT_WORD), lambda t: t == site_name.lower())
+    folded = site_name.upper().lower()  # upper case first: it spells out what has no single lower case
+    tokens = F.filter(F.split(F.lower(F.upper(title)), NOT_WORD), lambda t: t == folded)
     return F.size(tokens) > 1
 
 

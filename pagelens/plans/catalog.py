@@ -8,6 +8,7 @@ the SQL works the expectation out from the columns.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ from pagelens.operators.structured_data import StructuredData
 from pagelens.operators.uniqueness import Uniqueness, duplicate_groups
 from pagelens.plans import audit
 from pagelens.plans.crawl import all_issues
+from pagelens.scratch import stored
+from pagelens.sources.sitemap import bulk_sitemaps
 from pagelens.sources.snapshot import snapshot_pages, url_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +54,11 @@ def n(c: Column | str, name: str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name)
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """Features of pages as a table, for queries that read them more than once: the parse runs once."""
+    return stored(with_fingerprint(parse_pages(pages)), "features")
+
+
 # ---------------------------------------------------------------- stored pages
 
 
@@ -142,7 +150,7 @@ def verdict_by_site(spark, sf_dir):
     select site, title, count(*)::bigint as pages, string_agg(url, ' ' order by page_id) as urls from t where title <> '' group by all having count(*) > 1"""
 )
 def duplicate_titles(spark, sf_dir):
-    found = duplicate_groups(with_fingerprint(parse_pages(stored_pages(spark, sf_dir)))).where("part = 0")
+    found = duplicate_groups(parsed(stored_pages(spark, sf_dir))).where("part = 0")
     return found.select("site", F.col("value").alias("title"), n("n", "pages"), F.array_join("urls", " ").alias("urls"))
 
 
@@ -177,7 +185,7 @@ def unresolved_links(spark, sf_dir):
     """No stored page is the target of a stored link, so every target is unresolved."""
     pages = stored_pages(spark, sf_dir)
     ctx = Context()
-    links = link_ops.extract_links(parse_pages(pages))
+    links = link_ops.extract_links(parsed(pages))
     found = link_ops.target_issues(link_ops.judged_targets(links, link_ops.resolve_targets(links, pages, ctx), ctx))
     return found.where("code = 'unresolved_internal_link'").groupBy("site").agg(F.count(F.lit(1)).cast("bigint").alias("issues"))
 
@@ -189,7 +197,7 @@ def unresolved_links(spark, sf_dir):
 )
 def low_inbound(spark, sf_dir):
     pages, ctx = stored_pages(spark, sf_dir), Context()
-    links = link_ops.extract_links(parse_pages(pages))
+    links = link_ops.extract_links(parsed(pages))
     judged = link_ops.judged_targets(links, link_ops.resolve_targets(links, pages, ctx), ctx)
     return link_ops.inbound_counts(links, judged, url_list(pages), pages).where("inbound < 1").select("site", "path", "url", "inbound")
 
@@ -285,7 +293,7 @@ def open_graph_missing(spark, sf_dir):
     select repeat('d', n::int) as description, pages::bigint as pages, urls from g"""
 )
 def duplicate_descriptions(spark, sf_dir):
-    found = duplicate_groups(with_fingerprint(parse_pages(part_pages(spark, sf_dir)))).where("part = 1")
+    found = duplicate_groups(parsed(part_pages(spark, sf_dir))).where("part = 1")
     return found.select(F.col("value").alias("description"), n("n", "pages"), F.array_join("urls", " ").alias("urls"))
 
 
@@ -313,7 +321,7 @@ def content_fingerprints(spark, sf_dir):
 )
 def duplicate_content(spark, sf_dir):
     pages = text_pages(spark, sf_dir)
-    features = with_fingerprint(parse_pages(pages)).withColumn("title", F.lit(""))
+    features = parsed(pages).withColumn("title", F.lit(""))
     return Uniqueness().apply(pages, pages, features, Context()).select("code", "message")
 
 
@@ -343,7 +351,7 @@ _RING = """ring as (select c_custkey as k, c_custkey + 1 as t, (c_custkey + 1) i
 
 def _judged(spark, sf_dir):
     pages, ctx = linked_pages(spark, sf_dir), Context()
-    links = link_ops.extract_links(parse_pages(pages))
+    links = link_ops.extract_links(parsed(pages))
     return pages, links, link_ops.judged_targets(links, link_ops.resolve_targets(links, pages, ctx), ctx)
 
 
@@ -483,6 +491,102 @@ def job_posting_missing(spark, sf_dir):
     return StructuredData().apply(pages, pages, parse_pages(pages), Context()).select(F.col("seq.ordinal").alias("ordinal"), "code")
 
 
+_ANY = "did not match one or more of the required schemas"
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part with five items, each with a fault by modulus: an Article whose headline is
+    key % 150 long; a HowTo without steps (% 3 = 0), whose step has position 0 (% 3 = 1); an FAQPage
+    whose question has no answer (% 4 = 0) or an answer without text (% 4 = 1); a JobPosting in another
+    context (% 5 = 0) and without a place (% 5 < 2); a BreadcrumbList whose position is text (% 6 = 0)."""
+    k = F.col("p_partkey")
+    article = _cat('{"@type":"Article","headline":"', F.repeat(F.lit("h"), (k % 150).cast("int")), '"}')
+    step = _cat('{"@type":"HowToStep","name":"n","text":"t","position":', F.when(k % 3 == 1, 0).otherwise(1), "}")
+    how = _cat('{"@type":"HowTo","name":"h","step":[', _unless(k % 3 == 0, step), "]}")
+    answer = _unless(k % 4 == 0, _cat(',"acceptedAnswer":{"@type":"Answer"', _unless(k % 4 == 1, F.lit(',"text":"a"')), "}"))
+    faq = _cat('{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[{"@type":"Question","name":"q"', answer, "}]}")
+    job = _cat(
+        '{"@context":"', F.when(k % 5 == 0, F.lit("http://example.com")).otherwise(F.lit("https://schema.org")), '","@type":"JobPosting","title":"t","description":"d","datePosted":"2026-01-01",',
+        '"hiringOrganization":{"@type":"Organization","name":"o"}', _unless(k % 5 < 2, F.lit(',"jobLocation":{}')), "}",
+    )
+    crumbs = _cat('{"@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":', F.when(k % 6 == 0, F.lit('"1"')).otherwise(F.lit("1")), ',"name":"n","item":"https://example.com/"}]}')
+    body = F.concat(*[_cat('<script type="application/ld+json">', one, "</script>") for one in (article, how, faq, job, crumbs)])
+    return snapshot_pages(table(spark, sf_dir, "part").select(k.alias("page_id"), _cat(f"{_HOST}/n/", k).alias("url"), _html(F.lit(""), body).alias("html")))
+
+
+def _fault(when: str, kind: str, field: str, issue: str) -> str:
+    quoted = f"The property '#/{field}' {issue}".replace("'", "''")
+    return f"case when {when} then struct_pack(type := '{kind}', field := '{field}', issue := '{quoted}') end"
+
+
+_FAULTS = ",\n      ".join([
+    _fault("k % 150 > 110", "Article", "headline", "was not of a maximum string length of 110"),
+    _fault("k % 3 = 0", "HowTo", "step", "did not contain a minimum number of items 1"),
+    _fault("k % 3 = 1", "HowTo", "step/0/position", "did not have a minimum value of 1, inclusively"),
+    _fault("k % 4 = 0", "FAQPage", "mainEntity/0", "did not contain a required property of 'acceptedAnswer'"),
+    _fault("k % 4 = 1", "FAQPage", "mainEntity/0/acceptedAnswer", "did not contain a required property of 'text'"),
+    _fault("k % 5 = 0", "JobPosting", "@context", "value 'http://example.com' did not match one of the following values: https://schema.org, https://schema.org/"),
+    _fault("k % 5 < 2", "JobPosting", "", f"of type object {_ANY}"),
+    _fault("k % 6 = 0", "BreadcrumbList", "itemListElement/0/position", "of type string did not match the following type: integer"),
+])
+
+
+@query(
+    f"""with f as (select k, unnest(list_filter([{_FAULTS}], lambda x: x is not null)) as e from (select p_partkey as k from part))
+    select k::bigint as ordinal, e.type as type, e.field as field, e.issue as issue from f"""
+)
+def schema_errors_nested(spark, sf_dir):
+    rows = parse_pages(nested_pages(spark, sf_dir)).select("ordinal", F.explode("items").alias("i"))
+    return rows.select("ordinal", F.explode("i.problems").alias("p")).select("ordinal", "p.type", "p.field", "p.issue")
+
+
+@query("select 'https://shop.example.com/n/' || k as url, 5::bigint as items from (select p_partkey as k from part) where k % 150 <= 110 and k % 3 = 2 and k % 4 > 1 and k % 5 > 1 and k % 6 <> 0")
+def schema_valid_pages(spark, sf_dir):
+    """Pages all of whose items are valid."""
+    rows = parse_pages(nested_pages(spark, sf_dir)).where(~F.exists("items", lambda i: F.size(i["problems"]) > 0))
+    return rows.select("url", n(F.size("items"), "items"))
+
+
+@query(
+    """with l as (select c_custkey as k, c_custkey % 40 as t, row_number() over (partition by c_custkey % 40 order by c_custkey) as nth from customer),
+    s as (select t, string_agg('https://shop.example.com/c/' || k, ', ' order by k) as listed, to_json(list('https://shop.example.com/c/' || k order by k))::varchar as urls from l where nth <= 3 group by t)
+    select 'https://shop.example.com/t/' || t as url, 'unable to validate internal link (sources: ' || listed || ')' as message, '{"source_urls":' || urls || '}' as details from s"""
+)
+def first_sources(spark, sf_dir):
+    """Forty targets with very many sources each, twice from every page: the first three are told."""
+    k = F.col("c_custkey")
+    link = _cat('<a href="/t/', k % 40, '">next</a>')
+    rows = table(spark, sf_dir, "customer").select(k.alias("page_id"), _cat(f"{_HOST}/c/", k).alias("url"), _html(F.lit(""), _cat(link, link)).alias("html"))
+    pages, ctx = snapshot_pages(rows), Context()
+    links = link_ops.extract_links(parsed(pages))
+    return link_ops.target_issues(link_ops.judged_targets(links, link_ops.resolve_targets(links, pages, ctx), ctx)).select("url", "message", "details")
+
+
+# ---------------------------------------------------------------- sitemaps
+
+_XMLNS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+@query(
+    """with o as (select c_custkey as k, row_number() over (order by c_nationkey, c_custkey) - 1 as ordinal from customer where c_custkey % 7 <> 0)
+    select 'https://shop.example.com/c/' || k as url, ordinal::bigint as ordinal, 'https://shop.example.com' as site from o"""
+)
+def sitemap_urls_in_order(spark, sf_dir):
+    """Sitemaps as a table: an index of two indexes (the second names the first's documents again, and
+    the root), a document for each nation with its customers, twice each; every seventh customer's
+    entry stands in no namespace and doesn't count."""
+    k = F.col("c_custkey")
+    entry = _cat(F.when(k % 7 == 0, F.lit('<url xmlns="">')).otherwise(F.lit("<url>")), f"<loc> {_HOST}/c/", k, "/ </loc></url>")
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", k.alias("k"), F.repeat(entry, F.lit(2)).alias("entry"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "entry"))), lambda x: x["entry"]), "")
+    documents = rows.groupBy("c_nationkey").agg(_cat(f"<urlset {_XMLNS}>", listed, "</urlset>").alias("body")).select(_cat(f"{_HOST}/s/", F.col("c_nationkey")).alias("source"), "body")
+    loc = lambda address: f"<sitemap><loc>{address}</loc></sitemap>"
+    every = "".join(loc(f"{_HOST}/s/{i}") for i in range(25))
+    indexes = [("root", loc(f"{_HOST}/a.xml") + loc(f"{_HOST}/b.xml")), ("a.xml", every), ("b.xml", every + loc(f"{_HOST}/root"))]
+    indexes = spark.createDataFrame([(f"{_HOST}/{name}", f"<sitemapindex {_XMLNS}>{body}</sitemapindex>") for name, body in indexes], "source string, body string")
+    return bulk_sitemaps(documents.unionByName(indexes), indexes.where(F.col("source") == f"{_HOST}/root"))
+
+
 # ---------------------------------------------------------------- audit
 
 
@@ -517,7 +621,29 @@ def audit_failures(spark, sf_dir):
     return audit.failure_counts(audited(spark, sf_dir))
 
 
-@query()
+_PRODUCT_TEXT = """'{"@context":"https://schema.org","@type":"Product"' || case when p_partkey % 5 = 0 then '' else ',"name":"' || p_name || '"' end || ',"image":"'
+  || case when p_partkey % 7 = 2 then 'not a uri' else 'https://shop.example.com/i.png' end || '","offers":{"@type":"Offer","price":' || case when p_partkey % 4 = 1 then 'true' else p_size::varchar end || '}'"""
+
+
+def _problem(field: str, issue: str, kind: str) -> str:
+    quoted = issue.replace("'", "''")
+    return f"""'{{"field":"{field}","issue":"{quoted}","type":"{kind}"}}'"""
+
+
+@query(
+    f"""with {_AUDIT}, texts as (select p_partkey as k, length({_PRODUCT_TEXT}) as n from part),
+    said as (select e.*, array_to_string(list_filter([
+      case when k % 9 > 2 and has and cut then '{{"field":"parse","issue":"Expecting '','' delimiter: line 1 column ' || (n + 1) || ' (char ' || n || ')"}}' end,
+      case when k % 9 > 2 and has and not cut and unnamed then {_problem("", "The property '#/' did not contain a required property of 'name'", "Product")} end,
+      case when k % 9 > 2 and has and not cut and odd_image then {_problem("image", f"The property '#/image' of type string {_ANY}", "Product")} end,
+      case when k % 9 > 2 and has and not cut and odd_price then {_problem("offers", f"The property '#/offers' of type object {_ANY}", "Product")} end,
+      case when bad_micro then {_problem("startDate", "The property '#/startDate' must be a valid RFC3339 date/time string", "Event")} end], lambda x: x is not null), ',') as errors
+      from entries e join items using (k) join texts using (k))
+    select '{_HOST}/item/' || k as url, k::bigint as ordinal, case when k % 9 = 2 then '{{"status":"exception","error":"Timeout: no answer","structured_data_found":false,"validation_errors":[],"json_ld_count":0}}'
+      when k % 9 = 0 then '{{"status":500,"error":"Non-success status","structured_data_found":false,"validation_errors":[],"json_ld_count":0}}'
+      when k % 9 = 1 then '{{"status":200,"structured_data_found":true,"validation_errors":[],"json_ld_count":0,"skipped_reason":"non-html","content_type":"application/xml"}}'
+      else '{{"status":200,"structured_data_found":' || (json_ld + microdata > 0) || ',"validation_errors":[' || errors || '],"json_ld_count":' || json_ld || ',"content_type":"text/html"}}' end as result from said"""
+)
 def audit_results_json(spark, sf_dir):
     return audit.result_rows(audited(spark, sf_dir))
 
@@ -525,7 +651,32 @@ def audit_results_json(spark, sf_dir):
 # ---------------------------------------------------------------- whole audits
 
 
-@query()
+_WHOLE = f"""with {_ANSWERED}, html as (select *, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) as hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) as labels, {_TITLE} as title
+    from answered where error is null and status = 200),
+  anchors as (select page_id, site, norm, unnest(hrefs) as href, unnest(labels) as label, unnest(range(len(hrefs))) as pos from html),
+  linked as (select *, site || href as target from anchors where regexp_full_match(href, '[!-~]+') and not regexp_matches(href, '[<>"|^`{{}}\\\\]') and href <> '/' and label <> ''),
+  places as (select site, target, norm, min(struct_pack(o := page_id, p := pos)) as spot from linked group by site, target, norm),
+  sources as (select *, row_number() over (partition by site, target order by spot) as nth from places),
+  targets as (select site, target, min(spot) as spot, string_agg(norm, ', ' order by spot) as listed, '["' || string_agg(norm, '","' order by spot) || '"]' as urls from sources where nth <= 3 group by site, target),
+  titles as (select site, title, min(page_id) as first, string_agg(url, ', ' order by page_id) as listed, to_json(list(url order by page_id))::varchar as urls from html where title <> '' group by site, title having count(*) > 1),
+  paths as (select site, path, arg_max(norm, page_id) as url, min(page_id) as first from answered where path <> '/' group by site, path),
+  seen as (select site, path from html union select site, case when final_norm = norm then path else path || '/moved' end from html)"""
+
+
+@query(
+    f"""{_WHOLE}
+    select site, 0 as rule, 0 as part, page_id::bigint as ordinal, 0 as pos, case when error is not null then 'fetch_failed' when status = 404 then 'unexpected_status' else 'redirected_page' end as code,
+      case when error is not null or status = 404 then 'error' else 'warning' end as severity, 'crawl' as category, url,
+      case when error is not null then error when status = 404 then 'HTTP 404' else 'redirects to ' || final_url end as message,
+      case when error is not null then '{{}}' when status = 404 then '{{"status":404}}' else '{{"final_url":"' || final_url || '","status":200}}' end as details from answered where error is not null or status = 404 or norm <> final_norm
+    union all select site, 1, 0, page_id, pos, code, 'warning', 'metadata', url, message, details from html, (values (0, 'missing_meta_description', 'missing meta description', '{{}}'), (1, 'missing_canonical', 'missing canonical link', '{{}}'),
+      (2, 'incomplete_open_graph_tags', 'Open Graph tags incomplete (missing og:title, og:description, og:url, og:type, og:image)', '{{"missing":["og:title","og:description","og:url","og:type","og:image"]}}')) m(pos, code, message, details)
+    union all select site, 2, 0, page_id, 0, 'missing_structured_data', 'warning', 'structured_data', url, 'no structured data found; add JSON-LD or microdata markup', '{{"expected_sources":["json-ld","microdata"]}}' from html
+    union all select site, 3, 0, first, 0, 'duplicate_title', 'warning', 'uniqueness', null, 'duplicate title ''' || title || ''' => ' || listed, '{{"urls":' || urls || ',"value":' || to_json(title)::varchar || '}}' from titles
+    union all select site, 4, 0, spot.o, spot.p, 'unresolved_internal_link', 'warning', 'links', target, 'unable to validate internal link (sources: ' || listed || ')', '{{"source_urls":' || urls || '}}' from targets
+    union all select p.site, 4, 1, first, 0, 'low_inbound_anchor_links', 'warning', 'links', p.url, 'inbound anchor links 0 below 1', '{{"inbound_count":0,"minimum":1,"source_urls":[]}}' from paths p
+      where (p.site, p.path) in (select (site, path) from seen) and p.site in (select site from linked)"""
+)
 def issues_all(spark, sf_dir):
     """Every issue of every site of the stored pages, in order."""
     pages = answered_pages(spark, sf_dir)
@@ -540,9 +691,9 @@ _PER_PAGE = f"""with {_ANSWERED}, html as (select * from answered where error is
 
 
 def _per_page(spark, sf_dir):
-    from pagelens.streaming.pages import page_issues
-
-    return page_issues(answered_pages(spark, sf_dir))
+    pages = answered_pages(spark, sf_dir)
+    features, ctx = parsed(pages), Context()
+    return functools.reduce(DataFrame.unionByName, [rule.apply(pages, pages, features, ctx) for rule in (Metadata(), StructuredData())], crawl_issues(pages, ctx))
 
 
 @query(f"{_PER_PAGE} select severity, count(*)::bigint as issues from codes group by all")

@@ -46,11 +46,19 @@ def test_entry(spark):
 
 
 def test_parse_runs_once_for_all_rules(spark, small):
-    """One Python stage for the features, whatever number of rules reads them."""
+    """The features are written once; all rules read the table, and no plan holds a Python stage."""
     from pagelens.plans.crawl import all_issues
     from pagelens.sources.snapshot import snapshot_pages, url_list
 
     pages = snapshot_pages(spark.read.parquet(f"{small}/pages.parquet"))
-    plan = all_issues(url_list(pages), pages)._jdf.queryExecution().executedPlan().toString()
-    assert "PythonUDF" not in plan and plan.count("InMemoryTableScan") >= 4
+    issues = all_issues(url_list(pages), pages)
+    plan = issues._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDF" not in plan and "MapInPandas" not in plan and any("/features/" in f for f in issues.inputFiles())
     assert "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", "duplicate_titles duplicate_descriptions duplicate_content unresolved_links low_inbound inbound_links link_resolution broken_links issues_by_code issues_all first_sources".split())
+def test_pages_are_parsed_once(name, spark, small):
+    """The parse has run when the query is planned; the plan reads the features as a table."""
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan

@@ -42,7 +42,12 @@ def test_sitemap_local_sibling_and_bulk(tmp_path, spark):
     (tmp_path / "i.xml").write_bytes(index("https://e.com/maps/a.xml"))
     (tmp_path / "a.xml").write_bytes(urlset("https://e.com/p/", "/q"))
     assert sitemap_urls(str(tmp_path / "i.xml"), "http://localhost:3000") == ["http://localhost:3000/p", "http://localhost:3000/q"]
-    assert {r.url for r in bulk_sitemaps(spark, str(tmp_path / "a.xml")).collect()} == {"https://e.com/p", "/q"}
+    docs = {"https://e.com/i.xml": index("https://e.com/b.xml", "https://e.com/a.xml", "https://e.com/i.xml"), "https://e.com/a.xml": urlset("https://e.com/p/", "https://e.com/q"), "https://e.com/b.xml": urlset("https://e.com/q", "https://e.com/r/?a"), "https://e.com/none.xml": urlset("https://e.com/x")}
+    files = spark.createDataFrame([(k, v.decode()) for k, v in docs.items()], "source string, body string")
+    got = [r.url for r in bulk_sitemaps(files, files.where("source like '%/i.xml'")).orderBy("ordinal").collect()]
+    assert got == sitemap_urls("https://e.com/i.xml", "https://e.com", docs.__getitem__) == ["https://e.com/q", "https://e.com/r", "https://e.com/p"]
+    bare = spark.createDataFrame([("s", urlset("/p", ns="").decode())], "source string, body string")
+    assert bulk_sitemaps(bare, bare).count() == 0
 
 
 def test_sitemap_without_namespace_is_empty(tmp_path, spark):
