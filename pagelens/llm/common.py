@@ -1,15 +1,14 @@
-"""Helpers shared by the corpus operators: scratch tables, word columns, numpy word hashing."""
+"""Helpers shared by the corpus operators: joins of hot keys, word columns, numpy word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelens.scratch import stored
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the n-gram and mixing contracts, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,46 +16,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it. Without one a local
-    session gets a temporary folder; on a cluster that would lose rows without an error, so it raises."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="pagelens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/pagelens-{spark.sparkContext.applicationId}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, and its path: lineage ends here, and a lost executor costs
-    the tasks it ran, not the whole plan."""
-    spark = df.sparkSession
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A written table that stays until release(): results are lazy and may read it."""
-    return written(df, name)[0]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application; call it when its results have been saved."""
-    remove(spark, _scratch(spark))
-
-
 def fresh(taken: list[str], name: str) -> str:
     """A column name that isn't taken."""
     low = {c.lower() for c in taken}

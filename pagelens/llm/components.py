@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import pulled, remove, written
+from pagelens.llm.common import pulled
+from pagelens.scratch import remove, written
 
 
 def _star(edges: DataFrame, total: int, small: bool) -> DataFrame:

@@ -27,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import is_small, stored, without, words
+from pagelens.llm.common import is_small, without, words
+from pagelens.scratch import stored
 
 WINDOW, RATIO, SLOP, SALTS, BROADCAST = 13, 20, 5, 16, 8 << 20
 

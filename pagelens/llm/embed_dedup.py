@@ -33,9 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import partitions, pulled, stored
+from pagelens.llm.common import partitions, pulled
 from pagelens.llm.components import components
 from pagelens.llm.ngram_join import _Union
+from pagelens.scratch import stored
 
 COSINE, BLOCKS, SUB_BLOCK, SLACK = 0.93, 8, 4096, 1e-9
 

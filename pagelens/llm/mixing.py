@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import SPACE, fresh, stored
+from pagelens.llm.common import SPACE, fresh
+from pagelens.scratch import stored
 
 BLOCK_WORDS, SHARD_DOCS, GROUP, CAP, SEED = 32, 512, 4096, 3, "mix-1"
 

@@ -34,8 +34,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import chunks, id_slice, partitions, pulled, shingle_hashes, stored, whole_id, without
+from pagelens.llm.common import chunks, id_slice, partitions, pulled, shingle_hashes, whole_id, without
 from pagelens.llm.components import components
+from pagelens.scratch import stored
 
 SHINGLE = 5
 POSTINGS = "bucket int, batch long, nodes binary, sizes binary, gaps binary, hashes binary, dfs binary"

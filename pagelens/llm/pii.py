@@ -32,7 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import fresh, is_small, stored
+from pagelens.llm.common import fresh, is_small
+from pagelens.scratch import stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the contract; possessive, and anchored to the start of a run of characters.
