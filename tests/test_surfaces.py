@@ -230,7 +230,7 @@ def test_cli():
     assert run("validate", "--timeout", "x")[0] == 1 and "timeout must be an integer >= 1" in run("validate", "--timeout", "x")[2]
     assert run("validate", env={"CONCURRENCY": "0"})[0] == 1 and run("validate", "--nope")[0] == 1
     status, out, _, _, cfg = run("validate", env={"JS": "1"})
-    assert cfg.renderer == "browser" and cfg.concurrency == 4 and "capped at 4" in out
+    assert cfg.renderer == "browser" and cfg.concurrency == 4 and "At most 4 browser pages" in out
     assert run("validate", env={"JS": "1", "CONCURRENCY": "9"})[4].concurrency == 9
     assert run("validate", "--renderer", "browser")[4].concurrency == 10
     _, _, _, seen, _ = run("ldjson", "--url", " https://e.com/b ", "--summary", env={"URL": "https://e.com/a; ;", "DEBUG": "1", "REPORT_PATH": "r.json"})
