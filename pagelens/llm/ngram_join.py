@@ -41,7 +41,7 @@ from pagelens.scratch import stored
 SHINGLE = 5
 POSTINGS = "bucket int, batch long, nodes binary, sizes binary, gaps binary, hashes binary, dfs binary"
 LANES, WIRE = 256, 7
-HEAP = 4096
+HEAP, CHUNK = 4096, 512 << 10  # bytes of text hashed at once: workers stay small
 
 
 def needed(size):
@@ -58,7 +58,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a, b, texts in chunks(pdf["text"].tolist()):
+            for a, b, texts in chunks(pdf["text"].tolist(), CHUNK):
                 found = shingle_hashes(texts, size)
                 yield pd.DataFrame({
                     "doc_id": id_slice(pdf, "doc_id", a, b),
@@ -123,7 +123,7 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, _, texts in chunks(pdf["text"].tolist(), 2 << 20):
+            for _, _, texts in chunks(pdf["text"].tolist(), CHUNK):
                 found = {node_id(x): x for x in shingle_hashes(texts, size) if len(x)}
                 if found:
                     nodes = np.array(list(found), np.int64)
@@ -156,7 +156,7 @@ def shared_postings(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataF
 
 def candidates(postings: DataFrame) -> DataFrame:
     """node, size, most (the largest size of a partner), prefix (its short lists' shingles), members
-    (all its shared shingles, sorted): the sets with at least T shared shingles."""
+    (all its shared shingles): the sets with at least T shared shingles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -174,10 +174,10 @@ def candidates(postings: DataFrame) -> DataFrame:
                 if b - a >= needed(s):
                     mine = hashes[a:b]
                     most = min(7 * (b - a) // 3 - s, 4 * s // 3)  # 7 overlap >= 3 (a + b)
-                    rows.append((int(nodes[idx[a]]), s, most, mine[: b - a - needed(s) + 1].astype(np.int64).tolist(), np.sort(mine).tobytes()))
+                    rows.append((int(nodes[idx[a]]), s, most, mine[: b - a - needed(s) + 1].astype(np.int64), mine.astype(np.int64)))
         return pd.DataFrame(rows, columns=["node", "size", "most", "prefix", "members"])
 
-    found = postings.groupBy("bucket").applyInPandas(run, "node long, size int, most int, prefix array<long>, members binary")
+    found = postings.groupBy("bucket").applyInPandas(run, "node long, size int, most int, prefix array<long>, members array<long>")
     return found.dropDuplicates(["node"])
 
 
@@ -214,7 +214,7 @@ class Index:
     the sets in order of size, a range of numbers is a range of sizes."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.words, inv = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        self.words, inv = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         order = np.argsort(inv, kind="stable")
         self.held, self.start = owner[order], np.searchsorted(inv[order], np.arange(len(self.words) + 1))
@@ -247,11 +247,6 @@ class Index:
         return found, count
 
 
-def _hits(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
 def tested(pairs: DataFrame, cands: DataFrame) -> DataFrame:
     """The pairs (a, b) with Jaccard >= 0.75. b may be hot: its set is copied for every 4096 of its pairs."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("copies"))
@@ -261,15 +256,9 @@ def tested(pairs: DataFrame, cands: DataFrame) -> DataFrame:
     left = pairs.join(copied, F.col("b") == F.col("_hot"), "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).select("a", "b", "salt")
     left = left.join(cands.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("members").alias("members_a")), "a")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [
-                7 * _hits(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= 3 * (m + n)  # 100 i >= 75 (a + b - i)
-                for x, y, m, n in zip(pdf["members_a"], pdf["members_b"], pdf["size_a"], pdf["size_b"])
-            ]
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
-
-    return left.join(right.drop("copies"), ["b", "salt"]).select("a", "b", "size_a", "size_b", "members_a", "members_b").mapInPandas(run, "a long, b long")
+    both = left.join(right.drop("copies"), ["b", "salt"])
+    overlap = F.size(F.array_intersect("members_a", "members_b"))
+    return both.where(7 * overlap >= 3 * (F.col("size_a") + F.col("size_b"))).select("a", "b")  # 100 i >= 75 (a + b - i)
 
 
 def links(cands: DataFrame, block_bytes: int = 24 << 20, block_sets: int = 1024) -> DataFrame:
@@ -298,7 +287,7 @@ def _searched(held: DataFrame, cands: DataFrame, block_bytes: int, block_sets: i
     """Links between different parts of each group: all sets outside the group's largest part are
     queries against all its sets, these in blocks."""
     sets = stored(held.join(cands.select("node", "size", "most", "members"), "node"), "sets")
-    weight = lambda: F.sum(F.length("members") + 64)
+    weight = lambda: F.sum(8 * F.size("members") + 64)
     by_part = sets.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("sets"), weight().alias("bytes"))
     group = by_part.groupBy("grp").agg(F.sum("sets").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "sets", "part")).alias("main"))
     blocks = lambda n, b: F.greatest(F.lit(1), F.ceil(b / block_bytes), F.ceil(n / block_sets)).cast("int")
@@ -318,12 +307,12 @@ def _searched(held: DataFrame, cands: DataFrame, block_bytes: int, block_sets: i
         for _, g in pdf.groupby("grp", sort=False):
             asks = g["asks"].to_numpy(bool)
             t, q = g[~asks].sort_values("size", kind="stable"), g[asks]
-            index = Index([np.frombuffer(m, np.uint64) for m in t["members"]])
+            index = Index(t["members"].tolist())
             size, part, node = (t[c].to_numpy(np.int64) for c in ("size", "part", "node"))
             joined = _Union()
             low, high = (np.searchsorted(size, needed(q["size"].to_numpy(np.int64)), "left"), np.searchsorted(size, q["most"], "right"))
             for (n, p, s, m), a, b in zip(q[["node", "part", "size", "members"]].itertuples(index=False, name=None), low.tolist(), high.tolist()):
-                found, overlap = index.search(np.frombuffer(m, np.uint64), needed(s), a, b)
+                found, overlap = index.search(m, needed(s), a, b)
                 ok = (7 * overlap >= 3 * (s + size[found])) & (part[found] != p)
                 out += [(n, int(node[y])) for y in found[ok].tolist() if joined.join(p, int(part[y]))]
         return pd.DataFrame(out, columns=["a", "b"])
