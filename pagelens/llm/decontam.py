@@ -110,9 +110,11 @@ def matches(index: DataFrame, wins: DataFrame, slop: int = SLOP, limit: int = BR
     ends = lambda o: F.array_max(F.transform(distinct, lambda w: F.coalesce(F.nullif(F.array_position(F.slice("near", o + 1, reach), w), F.lit(0)), F.lit(1 << 30))))
     stretches = F.transform(F.sequence(low, F.col("pos") - F.col("first")), lambda o: F.struct(ends(o).alias("width"), (o + F.col("first")).alias("start")))
     best = F.when(F.size(F.array_except("win", "near")) == 0, F.array_min(F.filter(stretches, lambda x: (x["width"] <= reach) & (x["start"] + x["width"] > F.col("pos")))))
-    found = _probed(index, wins, limit).select("doc_id", "text_key", "ids", "n", F.when(exact, start).alias("start"), best.alias("best"))
+    # as a generator: its array is evaluated once, where a filter on columns would repeat it
+    pair = F.filter(F.array(F.struct(F.when(exact, start).alias("start"), best.alias("best"))), lambda x: x["start"].isNotNull() | x["best"].isNotNull())
+    found = _probed(index, wins, limit).select("doc_id", "text_key", "ids", "n", F.inline(pair))
     near = F.when(F.col("best").isNotNull(), F.struct(F.col("best.start").alias("start"), (F.col("best.start") + F.col("best.width")).cast("int").alias("end")))
-    return found.where("start is not null or best is not null").select("doc_id", "text_key", "ids", "n", "start", near.alias("near"))
+    return found.select("doc_id", "text_key", "ids", "n", "start", near.alias("near"))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, limit: int = BROADCAST) -> DataFrame:
