@@ -6,8 +6,9 @@ position, and as payload the words around it. A search for a benchmark item's wi
 1. counts over the whole corpus how often each benchmark term occurs,
 2. looks up each window under its rarest term only (a window with a term that never occurs is out);
    equal windows are one, whatever items they come from,
-3. subtracts the term's place in the window from the posting's position and probes the payload there
-   for the other words: all of them in order are an exact phrase match,
+3. probes the payload for the window's second rarest term, which rules most postings out, then, at the
+   posting's position less the term's place in the window, for all words: in order they are an exact
+   phrase match,
 4. probes the payload around the posting for a stretch of at most `slop` more words than the window
    has that holds all its words in any order: a proximity match.
 
@@ -75,18 +76,20 @@ def positional_index(docs: DataFrame, terms: DataFrame | None = None, around: in
 
 
 def windows_of(items: DataFrame, counts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """win (words), n, at (place of the rarest term), term, ids (of the items): the distinct windows
-    whose terms all occur in the corpus."""
+    """win (words), n, at (place of the rarest term), term, second (the next rarest, null if there is no
+    other), ids (of the items): the distinct windows whose terms all occur in the corpus."""
     place = items.select("item_key", F.posexplode("iw").alias("ipos", "term")).join(counts, "term", "left")
     rare = place.groupBy("item_key").agg(
         F.sort_array(F.collect_list(F.struct("ipos", F.coalesce("cf", F.lit(0)).alias("cf"), "term"))).alias("cfs")
     )
     n = F.least(F.lit(size), F.size("iw"))
-    least = lambda s: F.array_min(F.transform(F.slice("cfs", s + 1, n), lambda x: F.struct(x["cf"].alias("cf"), x["term"].alias("term"), (x["ipos"] - s).alias("at"))))
-    wins = F.transform(F.sequence(F.lit(0), F.size("iw") - n), lambda s: F.struct(F.slice("iw", s + 1, n).alias("win"), n.alias("n"), least(s).alias("rare")))
-    wins = items.join(rare, "item_key").select("item_id", F.inline(wins)).where("rare.cf > 0")
+    ranked = lambda s: F.array_sort(F.transform(F.slice("cfs", s + 1, n), lambda x: F.struct(x["cf"].alias("cf"), x["term"].alias("term"), (x["ipos"] - s).alias("at"))))
+    wins = F.transform(F.sequence(F.lit(0), F.size("iw") - n), lambda s: F.struct(F.slice("iw", s + 1, n).alias("win"), n.alias("n"), ranked(s).alias("ranked")))
+    wins = items.join(rare, "item_key").select("item_id", F.inline(wins)).withColumn("rare", F.col("ranked")[0]).where("rare.cf > 0")
+    wins = wins.withColumn("second", F.element_at(F.filter("ranked", lambda x: x["term"] != F.col("rare.term")), 1)["term"])
     ids = F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")
-    return wins.groupBy("win").agg(F.first("n").alias("n"), F.min("rare").alias("rare"), ids).select("win", "n", F.col("rare.at").alias("at"), F.col("rare.term").alias("term"), "ids")
+    wins = wins.groupBy("win").agg(F.first("n").alias("n"), F.min(F.struct("rare", "second")).alias("r"), ids)
+    return wins.select("win", "n", F.col("r.rare.at").alias("at"), F.col("r.rare.term").alias("term"), F.col("r.second").alias("second"), "ids")
 
 
 def _probed(index: DataFrame, wins: DataFrame, limit: int) -> DataFrame:
@@ -112,7 +115,8 @@ def matches(index: DataFrame, wins: DataFrame, slop: int = SLOP, limit: int = BR
     best = F.when(F.size(F.array_except("win", "near")) == 0, F.array_min(F.filter(stretches, lambda x: (x["width"] <= reach) & (x["start"] + x["width"] > F.col("pos")))))
     # as a generator: its array is evaluated once, where a filter on columns would repeat it
     pair = F.filter(F.array(F.struct(F.when(exact, start).alias("start"), best.alias("best"))), lambda x: x["start"].isNotNull() | x["best"].isNotNull())
-    found = _probed(index, wins, limit).select("doc_id", "text_key", "ids", "n", F.inline(pair))
+    probed = _probed(index, wins, limit).where(F.col("second").isNull() | F.array_contains("near", F.col("second")))
+    found = probed.select("doc_id", "text_key", "ids", "n", F.inline(pair))
     near = F.when(F.col("best").isNotNull(), F.struct(F.col("best.start").alias("start"), (F.col("best.start") + F.col("best.width")).cast("int").alias("end")))
     return found.select("doc_id", "text_key", "ids", "n", "start", near.alias("near"))
 
