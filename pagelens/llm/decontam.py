@@ -86,7 +86,7 @@ def windows_of(items: DataFrame, counts: DataFrame, size: int = WINDOW) -> DataF
     ranked = lambda s: F.array_sort(F.transform(F.slice("cfs", s + 1, n), lambda x: F.struct(x["cf"].alias("cf"), x["term"].alias("term"), (x["ipos"] - s).alias("at"))))
     wins = F.transform(F.sequence(F.lit(0), F.size("iw") - n), lambda s: F.struct(F.slice("iw", s + 1, n).alias("win"), n.alias("n"), ranked(s).alias("ranked")))
     wins = items.join(rare, "item_key").select("item_id", F.inline(wins)).withColumn("rare", F.col("ranked")[0]).where("rare.cf > 0")
-    wins = wins.withColumn("second", F.element_at(F.filter("ranked", lambda x: x["term"] != F.col("rare.term")), 1)["term"])
+    wins = wins.withColumn("second", F.try_element_at(F.filter("ranked", lambda x: x["term"] != F.col("rare.term")), F.lit(1))["term"])
     ids = F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")
     wins = wins.groupBy("win").agg(F.first("n").alias("n"), F.min(F.struct("rare", "second")).alias("r"), ids)
     return wins.select("win", "n", F.col("r.rare.at").alias("at"), F.col("r.rare.term").alias("term"), F.col("r.second").alias("second"), "ids")
