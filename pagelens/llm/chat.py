@@ -171,5 +171,5 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     kept = [c for c in others.columns if c != "arguments"]
     plain = checked(others.withColumn("name", none("string")), {}, kept, bare=True)
     plain = plain.select(*kept, none("long").alias("level"), none("boolean").alias("valid"), "json").select(*columns)
-    ordered = out.unionByName(plain).orderBy("conv_id", F.asc_nulls_last("place"), "kind", "turn")
+    ordered = stored(out.unionByName(plain), "messages").orderBy("conv_id", F.asc_nulls_last("place"), "kind", "turn")
     return ordered.drop("place")
