@@ -248,12 +248,11 @@ class Index:
 
 
 def tested(pairs: DataFrame, cands: DataFrame) -> DataFrame:
-    """The pairs (a, b) with Jaccard >= 0.75. b may be hot: its set is copied for every 4096 of its pairs."""
-    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("copies"))
-    right = cands.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("members").alias("members_b")).join(copies, "b")
+    """The pairs (a, b) with Jaccard >= 0.75. b may be hot: its set is copied for every 512 of its pairs."""
+    copies = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / 512).cast("int"))
+    right = cands.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("members").alias("members_b")).join(copies.drop("n"), "b")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    copied = copies.withColumnRenamed("b", "_hot").where("copies > 1")  # at most a 4096th of the pairs
-    left = pairs.join(copied, F.col("b") == F.col("_hot"), "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).select("a", "b", "salt")
+    left = pulled(pairs, copies, "b", pairs.count(), F.xxhash64("a", "b")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).select("a", "b", "salt")
     left = left.join(cands.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("members").alias("members_a")), "a")
 
     both = left.join(right.drop("copies"), ["b", "salt"])
