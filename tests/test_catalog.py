@@ -62,3 +62,30 @@ def test_pages_are_parsed_once(name, spark, small):
     """The parse has run when the query is planned; the plan reads the features as a table."""
     plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+@pytest.fixture(scope="module")
+def cut_titles(spark, tmp_path_factory):
+    """Pages 3 to 9 of each ten; titles cut inside a reference, as those of the larger page tables are.
+    Every page has a text of its own, but 13 and 14 share theirs."""
+    titles = ["a &amp;&amp", "a &amp;&amp", "a &amp;&", "a &amp;&", "b &am", "b &amp;am", "b &am"]
+    rows = []
+    for i in range(3, 17):
+        if i % 10 > 2:
+            text = f"{min(i, 13) if i < 15 else i} " * 90
+            rows.append((i, f"https://a.example.com/p/{i}", f'<html><head><title>{titles[(i - 3) % 10 % 7]}</title></head><body><h1>h</h1><p>{text}</p><a href="/t/{i}">x</a></body></html>'))
+    at = tmp_path_factory.mktemp("cut")
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{at}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{at}/pages.parquet/*.parquet'")
+    return str(at), con
+
+
+def same_as_sql(name, spark, tables, keep=lambda df: df):
+    at, con = tables
+    found = rows(catalog.QUERIES[name](spark, at).toPandas().pipe(keep))
+    assert found and found == rows(con.execute(catalog.ORACLE[name]).df())
+
+
+def test_duplicate_titles_with_cut_references(spark, cut_titles):
+    same_as_sql("duplicate_titles", spark, cut_titles)
