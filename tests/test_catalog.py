@@ -89,3 +89,15 @@ def same_as_sql(name, spark, tables, keep=lambda df: df):
 
 def test_duplicate_titles_with_cut_references(spark, cut_titles):
     same_as_sql("duplicate_titles", spark, cut_titles)
+
+
+def test_all_issues_with_cut_references_and_shared_texts(spark, cut_titles):
+    """The SQL tells of no shared text, as sf0.01 has none: those issues are checked by themselves."""
+    shared = []
+
+    def apart(df):
+        shared.extend(df.message[df.code == "duplicate_content_fingerprint"])
+        return df[df.code != "duplicate_content_fingerprint"]
+
+    same_as_sql("issues_all", spark, cut_titles, apart)
+    assert shared == ["duplicate page content fingerprint => https://a.example.com/p/13, https://a.example.com/p/14"]
