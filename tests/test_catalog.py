@@ -101,3 +101,7 @@ def test_all_issues_with_cut_references_and_shared_texts(spark, cut_titles):
 
     same_as_sql("issues_all", spark, cut_titles, apart)
     assert shared == ["duplicate page content fingerprint => https://a.example.com/p/13, https://a.example.com/p/14"]
+
+
+def test_title_features_with_cut_references(spark, cut_titles):
+    same_as_sql("pages_title_features", spark, cut_titles)
